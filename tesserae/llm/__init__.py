@@ -1,12 +1,13 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, chat, quality, sharding, simhash, token_files, urls
+from . import bpe, chat, mixing, quality, sharding, simhash, token_files, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_files": token_files.op3_token_files,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
+    "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": urls.op7_url_filter,
     "op9_quality": quality.op9_quality,
     "op10_chat_format": chat.op10_chat_format,
