@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, chat, mixing, quality, sharding, simhash, token_files, urls
+from . import bpe, chat, embeddings, mixing, quality, sharding, simhash, token_files, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_quality": quality.op9_quality,
     "op10_chat_format": chat.op10_chat_format,
 }
