@@ -168,7 +168,8 @@ def mixed(docs: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
     lo = F.greatest(F.col("_block") * block, F.col("_at"))
     hi = F.least((F.col("_block") + 1) * block, F.col("_end"))
     pieces = each.select("_src", "_block", "_uid", (lo - F.col("_at")).alias("first_word"), (hi - lo).alias("n_words"))
-    return slots(docs.sparkSession, sources, shards, seed).join(pieces, ["_src", "_block"]).select("shard", "slot", "_uid", "first_word", "n_words")
+    # both sides grow with the corpus, whatever a planner makes of the literal behind the slots: no broadcast here
+    return slots(docs.sparkSession, sources, shards, seed).hint("merge").join(pieces.hint("merge"), ["_src", "_block"]).select("shard", "slot", "_uid", "first_word", "n_words")
 
 
 def prepared(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, list[dict]]:
