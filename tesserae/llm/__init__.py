@@ -1,9 +1,10 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import bpe, chat, embeddings, mixing, quality, sharding, simhash, token_files, urls
+from . import bpe, chat, embeddings, lm, mixing, quality, sharding, simhash, token_files, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_token_files": token_files.op3_token_files,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
