@@ -1,0 +1,8 @@
+"""Registered queries: name -> f(spark, sf_dir), and the SQL of those that have one."""
+
+from . import matrix_queries
+
+QUERIES, SQL = {}, {}
+for _module in (matrix_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
