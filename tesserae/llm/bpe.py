@@ -12,6 +12,8 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded_batches
+
 #: Bytes of text that a task holds as one corpus; it bounds memory and does not change any id.
-BLOCK_BYTES = 24 << 20
-#: Pieces kept spelled between blocks of one task.
-KEEP_PIECES = 400_000
+BLOCK_BYTES = 4 << 20
+#: Bytes of text whose ids are put together at once.
+SLICE_BYTES = 1 << 19
+#: Chunks kept spelled between blocks of one task, and chunks matched in one run.
+KEEP_CHUNKS, RUN = 200_000, 256
 
 
 class Merges:
@@ -63,17 +69,17 @@ class Merges:
             ids[i : i + 2] = [best]
         return ids
 
-    def replay(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of every piece: all merges in rank order over all pieces at once."""
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each): all merges in rank order over all pieces at once."""
         if not pieces:
-            return []
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         tok = self.byte_ids[data]
         tok[starts + lengths] = -1  # a boundary after each piece
         size = len(tok)
-        nxt, prv = np.arange(1, size + 1), np.arange(-1, size - 1)
+        nxt, prv = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
         nxt[-1] = size - 1
         prv[0] = size - 1  # the last boundary stands before the first piece too
         index: dict[int, list[np.ndarray]] = {}
@@ -121,11 +127,13 @@ class Merges:
                     odd.append(positions[ranks < r])
                 add(ranks, positions)
         alive = np.flatnonzero(tok >= 0)
-        owner = np.searchsorted(starts, alive, "right") - 1
-        out = np.split(tok[alive], np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1])
-        for i in set((np.searchsorted(starts, np.concatenate(odd), "right") - 1).tolist()) if odd else ():
-            out[i] = np.array(self.spell(pieces[i]), np.int32)
-        return out
+        sizes = np.bincount(np.searchsorted(starts, alive, "right") - 1, minlength=len(pieces))
+        if not odd:
+            return tok[alive], sizes
+        each = np.split(tok[alive], np.cumsum(sizes)[:-1])
+        for i in set((np.searchsorted(starts, np.concatenate(odd), "right") - 1).tolist()):
+            each[i] = np.array(self.spell(pieces[i]), np.int32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
@@ -138,56 +146,104 @@ def merges(path: str) -> Merges:
 
 
 class Encoder:
-    """Texts to ids. A text is cut before each blank that follows a non-blank: no match of the pattern crosses such a
-    place, so a chunk's ids depend on the chunk alone. Texts with other blanks are matched whole."""
+    """Texts to ids. A text is cut where white space follows something else (mostly at a blank): no match of the
+    pattern crosses such a place, so a chunk's ids depend on the chunk alone and are looked up once it is known."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.merges, self.pattern = merges(path), regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def learn(self, chunks: list[str]) -> None:
-        """Spells unknown chunks: all their distinct pieces in one replay."""
-        split = [self.pattern.findall(c) for c in chunks]
-        pieces = list(dict.fromkeys(p for ps in split for p in ps))
-        spelled = dict(zip(pieces, self.merges.replay([p.encode("utf-8", "surrogatepass") for p in pieces]), strict=True))
-        empty = np.empty(0, np.int32)
-        for chunk, ps in zip(chunks, split, strict=True):
-            self.known[chunk] = len(self.ids)
-            self.ids.append(spelled[ps[0]] if len(ps) == 1 else np.concatenate([spelled[p] for p in ps]) if ps else empty)
+        self.flat, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, number of ids of each): all their distinct pieces in one replay."""
+        split = matched(chunks, self.pattern)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(p, len(number)) for ps in split for p in ps), np.int64, int(counts.sum()))
+        ids, sizes = self.merges.replay([p.encode("utf-8", "surrogatepass") for p in number])
+        return ragged(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]), grouped_sums(sizes[at], counts)
+
+    def learn(self, texts: list[str]) -> None:
+        """Spells the chunks of these texts that are not known yet, all at once."""
+        if len(self.known) > KEEP_CHUNKS:
+            self.forget()
+        new: dict[str, None] = {}
+        for t in texts:
+            new.update(dict.fromkeys(itertools.filterfalse(self.known.__contains__, _keys(t))))
+        if new:
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+            ids, sizes = self.spell([k[1:] if k[:1] == " " else " " + k for k in new])
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each) from chunks that `learn` has seen."""
+        keys = [_keys(t) for t in texts]
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        words = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(counts.sum()))
+        sizes = self.sizes[words]
+        return ragged(self.flat, self.starts[words], sizes), grouped_sums(sizes, counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each)."""
-        if len(self.ids) > KEEP_PIECES:
-            self.known, self.ids = {}, []
-        chunks = [_chunks(t) for t in texts]
-        new = dict.fromkeys(c for cs in chunks for c in cs)
-        new = [c for c in new if c not in self.known]
-        if new:
-            self.learn(new)
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        words = np.fromiter((self.known[c] for cs in chunks for c in cs), np.int64, int(counts.sum()))
-        lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        ids = ragged(flat, starts[words], lengths[words]) if words.size else flat[:0]
-        ends = np.concatenate([[0], np.cumsum(lengths[words])])
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-
-
-def _chunks(text: str) -> list[str]:
+        self.learn(texts)
+        return self.lookup(texts)
+
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """(rows, their ids, numbers of ids) for batches with a column `text`; null text: empty. Chunks are learnt a
+        block at a time and looked up a slice at a time, so that memory is bounded by the longest text."""
+        for block in blocks(batches, BLOCK_BYTES):
+            self.learn([x or "" for x in block["text"].to_pylist()])
+            for rows in blocks(iter(block.to_batches()), SLICE_BYTES):
+                yield rows, *self.lookup([x or "" for x in rows["text"].to_pylist()])
+
+
+def begins_plainly(chunk: str) -> bool:
+    """One blank, at the start, and no white space at the end: in a run of such chunks no match crosses into the next,
+    and each blank starts a chunk."""
+    return chunk[0] == " " and chunk.count(" ") == 1 and not chunk[-1].isspace()
+
+
+def matched(chunks: list[str], pattern: regex.Pattern) -> list[list[str]]:
+    """Matches of the pattern in each chunk; plain ones are matched in runs."""
+    out: list[list[str] | None] = [None] * len(chunks)
+    plain = [i for i, c in enumerate(chunks) if begins_plainly(c)]
+    for k in range(0, len(plain), RUN):
+        part = plain[k : k + RUN]
+        found = pattern.findall("".join([chunks[i] for i in part]))
+        cuts = [j for j, p in enumerate(found) if p[0] == " "]
+        if len(cuts) == len(part):
+            for i, (x, y) in zip(part, itertools.pairwise([*cuts, len(found)]), strict=True):
+                out[i] = found[x:y]
+    return [pattern.findall(c) if ps is None else ps for c, ps in zip(chunks, out, strict=True)]
+
+
+def grouped_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of `values`, `counts` long."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _keys(text: str) -> list[str]:
+    """A text's chunks, those that start with one blank without it, others after a blank of their own."""
+    if not text:
+        return []
+    if _ODD.search(text):
+        return [c[1:] if c[0] == " " and c[1:2] != " " else " " + c for c in _CHUNK.findall(text)]
     parts = text.split(" ")
-    if len(parts) == 1:
-        return [text] if text else []
-    out = [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
-    # a blank beside other white space is no place to cut
-    if " " in out or any(map(_ends_blank, parts)):
-        return [text]
-    return out
+    if parts[0]:
+        parts[0] = " " + parts[0]
+    else:
+        del parts[0]
+    return parts
 
 
-def _ends_blank(part: str) -> bool:
-    return part[-1:].isspace()
+#: A blank after other white space, and the chunks of a text that has it: white space, then what follows.
+_ODD, _CHUNK = re.compile(r"\s "), regex.compile(r"\s*\S+|\s+")
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -198,15 +254,18 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Batches joined up to about `limit` bytes."""
+    """Batches joined, or cut between rows, to tables of about `limit` bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+    for whole in batches:
+        step = max(1, int(whole.num_rows * limit / max(whole.nbytes, 1)))
+        for i in range(0, whole.num_rows, step):
+            b = whole.slice(i, step)
+            held.append(b)
+            size += b.nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -216,11 +275,11 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for t in blocks(batches):
-            ids, counts = encoder.encode([x or "" for x in t["text"].to_pylist()])
+        for t, ids, counts in encoder.encoded(batches):
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -240,8 +299,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for t in blocks(batches):
-            ids, counts = encoder.encode([x or "" for x in t["text"].to_pylist()])
+        for t, ids, counts in encoder.encoded(batches):
             ends = np.cumsum(counts).tolist()
             packed = ids.astype("<u4", copy=False)
             sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -251,6 +309,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

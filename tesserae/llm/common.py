@@ -37,6 +37,11 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Limits Arrow batches by bytes, so that long texts do not swell a Python worker (rows alone are the default)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def let(value: Column, body) -> Column:
     """`body(v)` with `v` bound once to `value`, so that a lambda inside `body` does not evaluate it again per element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

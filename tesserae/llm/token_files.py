@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, blocks
-from .common import shared_dir
+from .bpe import RUN, Encoder, begins_plainly, grouped_sums, ragged
+from .common import bounded_batches, shared_dir
 
 #: Parquet settings of the format. Version 2 pages give DELTA_BINARY_PACKED where there is no dictionary.
 LAYOUT = {
@@ -48,14 +48,53 @@ class LibraryEncoder(Encoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known, self.ids = {}, []
-
-    def learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 10_000):
-            part = chunks[i : i + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.int32))
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the byte-level form of a blank
+        self.forget()
+
+    def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A mark after letters is a match of its own, so words are encoded once whatever mark follows them."""
+        number: dict[str, int] = {}
+        at: list[int] = []
+        counts = np.ones(len(chunks), np.int64)
+        for i, c in enumerate(chunks):
+            if c[-1] in _MARKS and c[1:-1].isalpha():
+                at.append(number.setdefault(c[:-1], len(number)))
+                at.append(number.setdefault(c[-1], len(number)))
+                counts[i] = 2
+            else:
+                at.append(number.setdefault(c, len(number)))
+        ids, sizes = self._pieces(list(number))
+        where = np.array(at, np.int64)
+        return ragged(ids, (np.cumsum(sizes) - sizes)[where], sizes[where]), grouped_sums(sizes[where], counts)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain pieces go to the library in runs; the ids that start with a blank tell them apart."""
+        order, ids, sizes = [], [], []
+        plain = [i for i, p in enumerate(pieces) if begins_plainly(p)]
+        alone = sorted(set(range(len(pieces))).difference(plain))
+        for k in range(0, len(plain), RUN):
+            part = plain[k : k + RUN]
+            whole = np.array(self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.int32)
+            starts = np.flatnonzero(self.blank[whole])
+            if len(starts) == len(part):
+                order += part
+                ids.append(whole)
+                sizes.append(np.diff(np.append(starts, len(whole))))
+            else:
+                alone += part
+        for i in alone:
+            ids.append(np.array(self.tokenizer.encode_batch_fast([pieces[i]], add_special_tokens=False)[0].ids, np.int32))
+        order += alone
+        sizes.append(np.array([len(x) for x in ids[len(ids) - len(alone) :]], np.int64))
+        back = np.argsort(np.array(order, np.int64))
+        flat, counts = np.concatenate(ids), np.concatenate(sizes)
+        return ragged(flat, (np.cumsum(counts) - counts)[back], counts[back]), counts[back]
+
+
+#: Marks that the splitting pattern parts from letters before them.
+_MARKS = frozenset(".,;:!?|")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
@@ -66,14 +105,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = LibraryEncoder(tokenizer), 0, TaskContext.get().partitionId()
-        for t in blocks(batches):
-            ids, counts = encoder.encode([x or "" for x in t["text"].to_pylist()])
+        for t, ids, counts in encoder.encoded(batches):
             ids = np.insert(ids, np.cumsum(counts), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts + 1)])
             columns = [t["doc_id"].combine_chunks(), pa.array(np.full(len(counts), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(counts + 1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "start", "n_tokens", "ids"])
             at += int(offsets[-1])
 
+    bounded_batches(docs.sparkSession)
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(path)
