@@ -21,8 +21,8 @@ def clip(x: Column, most: float) -> Column:
 
 
 #: Rational approximations of erf and erfc by Cody (1969); fixed published values, highest power first.
-_P1 = (3.5609843701815385e-2, 6.9963834886191355, 2.1979261618294152e1, 2.4266795523053175e2)
-_Q1 = (1.0, 1.5082797630407787e1, 9.1164905404514901e1, 2.1505887586986120e2)
+_P1 = (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+_Q1 = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
 _P2 = (-1.368648573827167067e-7, 5.641955174789739711e-1, 7.211758250883093659, 4.316222722205673530e1, 1.529892850469404039e2, 3.393208167343436870e2, 4.519189537118729422e2, 3.004592610201616005e2)
 _Q2 = (1.0, 1.278272731962942351e1, 7.700015293522947295e1, 2.775854447439876434e2, 6.389802644656311665e2, 9.313540948506096211e2, 7.909509253278980272e2, 3.004592609569832933e2)
 _P3 = (2.23192459734184686e-2, 2.78661308609647788e-1, 2.26956593539686930e-1, 4.94730910623250734e-2, 2.99610707703542174e-3)

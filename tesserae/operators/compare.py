@@ -24,7 +24,7 @@ def bh_adjust(df: DataFrame, p: str, by: list[str], out: str = "adjusted") -> Da
 
 
 def bonferroni_adjust(df: DataFrame, p: str, by: list[str], out: str = "adjusted") -> DataFrame:
-    return df.withColumn(out, F.least(F.col(p) * F.count(p).over(Window.partitionBy(*by)), F.lit(1.0)))
+    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.count(p).over(Window.partitionBy(*by)), F.lit(1.0))))
 
 
 def group_moments(x: DataFrame, obs: DataFrame, group: str, var: DataFrame) -> DataFrame:
