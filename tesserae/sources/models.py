@@ -63,13 +63,22 @@ class Levels:
         name = self.names[component]
         return name if self.most[component] == 1 else f"{name}_b{threshold}"
 
+    def exactly(self, component: str, level: int) -> str:
+        """All thresholds up to the level hold and the next does not; states that skip a threshold have no level."""
+        parts = [self.at(component, k) for k in range(1, level + 1)]
+        if level < self.most[component]:
+            parts.append(f"~{self.at(component, level + 1)}")
+        return " & ".join(parts)
+
     def between(self, component: str, low: int, high: int) -> str:
-        return f"({self.at(component, low)} & ~{self.at(component, high + 1)})"
+        low, high = max(low, 0), min(high, self.most[component])
+        if low == 0 and high == self.most[component]:
+            return "1"
+        return " | ".join(f"({self.exactly(component, v)})" for v in range(low, high + 1)) or "0"
 
     def network(self, desired: dict[str, dict[int, str]], inputs: set[str]) -> Network:
-        """Rules per threshold. An input keeps its value. Of several levels, one is entered only from the level below
-        and left only from itself: C_bk holds if the levels below hold and either the rule asks for it or the level
-        above still holds."""
+        """Rules per threshold. An input keeps its value. With several levels, C_bk holds if the levels below hold and the
+        rule asks for it, or if the level above and all below it still hold, so that levels are left one at a time."""
         rules = {}
         for c, m in self.most.items():
             for k in range(1, m + 1):
@@ -80,8 +89,8 @@ class Levels:
                     rules[own] = desired[c][k]
                 else:
                     below = "".join(f"{self.at(c, j)} & " for j in range(1, k))
-                    above = f" | {self.at(c, k + 1)}" if k < m else ""
-                    rules[own] = f"({below}({desired[c][k]})){above}"
+                    still = " & ".join(self.at(c, j) for j in range(1, k + 2)) if k < m else "0"
+                    rules[own] = f"({below}({desired[c][k]})) | ({still})"
         return Network(rules)
 
 
@@ -111,7 +120,7 @@ def _math(node, levels: Levels) -> str:
     terms = []
     for pair in itertools.product(*values):
         if tests[op](*pair):
-            terms.append(" & ".join(levels.between(t, v, v) for (tag, t), v in zip(sides, pair, strict=True) if tag == "ci") or "1")
+            terms.append(" & ".join(f"({levels.exactly(t, v)})" for (tag, t), v in zip(sides, pair, strict=True) if tag == "ci") or "1")
     return " | ".join(f"({t})" for t in terms) or "0"
 
 
@@ -155,7 +164,7 @@ def parse_ginml(data: bytes) -> Network:
         source, target = _attr(e, "from"), _attr(e, "to")
         low = int(_attr(e, "minvalue", "1"))
         high = int(_attr(e, "maxvalue", str(levels.most[source])))
-        incoming[target].append((_attr(e, "id"), levels.between(source, low, levels.most[source] if high < 0 else high)))
+        incoming[target].append((_attr(e, "id"), f"({levels.between(source, low, levels.most[source] if high < 0 else high)})"))
     desired: dict[str, dict[int, str]] = {}
     inputs = set()
     for i, n in nodes.items():

@@ -83,8 +83,8 @@ def test_sbml(spark, tmp_path):
     (tmp_path / "m.sbml").write_text(SBML)
     net = models.read_sbml(spark, str(tmp_path / "m.sbml"))
     assert net.components == ["in", "X_b1", "X_b2", "Y"]
-    assert r.equivalent(net.rules["Y"], r.parse("X_b2 & ~in")) and r.equivalent(net.rules["in"], r.parse("in"))
-    assert r.equivalent(net.rules["X_b1"], r.parse("in | X_b2")) and r.equivalent(net.rules["X_b2"], r.parse("X_b1 & in"))
+    assert r.equivalent(net.rules["Y"], r.parse("X_b1 & X_b2 & ~in")) and r.equivalent(net.rules["in"], r.parse("in"))
+    assert r.equivalent(net.rules["X_b1"], r.parse("in | X_b1 & X_b2")) and r.equivalent(net.rules["X_b2"], r.parse("X_b1 & in"))
     with pytest.raises(ValueError):
         models.parse_sbml(SBML.replace("assignmentLevel", "production").encode())
 
