@@ -149,3 +149,52 @@ def predecessor_score(votes: DataFrame) -> DataFrame:
     """votes with score (f - b) / (f + b), 0 without conclusive votes, and the cell that comes first (null: neither)."""
     score = F.coalesce(ratio(F.col("forward") - F.col("backward"), F.col("forward") + F.col("backward")), F.lit(0.0))
     return votes.withColumn("score", score).withColumn("predecessor", F.when(score > 0, F.col("cell1")).when(score < 0, F.col("cell2")))
+
+
+def drop_components(cubes: DataFrame, components: list[str]) -> DataFrame:
+    """Cubes without the components, which are then free."""
+    return cubes.filter(~F.col("component").isin(*components))
+
+
+def relabel_components(cubes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Components renamed by (old, new); two of a cube that would become one are an error."""
+    out = cubes.join(F.broadcast(mapping.select(F.col("old").alias("component"), "new")), "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
+    size = F.count("*").over(Window.partitionBy("cube", "component"))
+    return out.withColumn("_n", size).withColumn("component", F.when(F.col("_n") == 1, F.col("component")).otherwise(F.raise_error(F.lit("relabelling merges components")))).drop("_n")
+
+
+def update_cubes(cubes: DataFrame, changes_: DataFrame) -> DataFrame:
+    """Cubes with values set by (cube, component, value); new components are added."""
+    kept = cubes.join(changes_.select("cube", "component"), ["cube", "component"], "left_anti")
+    return kept.unionByName(changes_.select(*cubes.columns))
+
+
+def compare_cubes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cube, same, below, above): whether cubes of one name are equal, a inside b, b inside a. Missing is free."""
+    both = a.select("cube", "component", F.col("value").alias("_a")).join(b.select("cube", "component", F.col("value").alias("_b")), ["cube", "component"], "full")
+    return both.groupBy("cube").agg(
+        F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("same"), F.bool_and(includes(F.col("_a"), F.col("_b"))).alias("below"), F.bool_and(includes(F.col("_b"), F.col("_a"))).alias("above")
+    )
+
+
+def state_algebra(a: DataFrame, b: DataFrame, operation: str, n: int) -> DataFrame:
+    """States of a set operation: union, intersection, difference, symmetric or (of a alone) complement."""
+    a, b = a.select("state").distinct(), b.select("state").distinct()
+    if operation == "union":
+        return a.union(b).distinct()
+    if operation == "intersection":
+        return a.intersect(b)
+    if operation == "difference":
+        return a.subtract(b)
+    if operation == "symmetric":
+        return a.subtract(b).union(b.subtract(a))
+    if operation == "complement":
+        return a.sparkSession.range(1 << n).withColumnRenamed("id", "state").join(a, "state", "left_anti")
+    raise ValueError("operation: union, intersection, difference, symmetric or complement")
+
+
+def state_relations(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(equal, subset, superset, meets, n_a, n_b) of two state sets, in one pass."""
+    both = a.select("state").distinct().withColumn("_a", F.lit(1)).join(b.select("state").distinct().withColumn("_b", F.lit(1)), "state", "full")
+    only_a, only_b, shared = F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull()), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    return both.agg(((only_a == 0) & (only_b == 0)).alias("equal"), (only_a == 0).alias("subset"), (only_b == 0).alias("superset"), (shared > 0).alias("meets"), F.count("_a").alias("n_a"), F.count("_b").alias("n_b"))

@@ -271,3 +271,56 @@ def truth_table(spark: SparkSession, rule: str, order: list[str]) -> DataFrame:
     """(state, value) on all assignments."""
     at = {name: i for i, name in enumerate(order)}
     return spark.range(1 << len(order)).select(F.col("id").alias("state"), r.on_state(r.parse(rule), at, F.col("id")).alias("value"))
+
+
+def ensemble_frame(spark: SparkSession, networks: list[Network]) -> DataFrame:
+    """(network_id, component, rule) of networks over one set of components."""
+    if len({frozenset(n.components) for n in networks}) > 1:
+        raise ValueError("networks of one ensemble have the same components")
+    rows = [(k, c, r.to_text(t)) for k, n in enumerate(networks) for c, t in n.rules.items()]
+    return spark.createDataFrame(rows, "network_id int, component string, rule string")
+
+
+def ensemble_distances(spark: SparkSession, networks: list[Network]) -> DataFrame:
+    """(a, b, distance) of all network pairs a < b: each distinct pair of a component's rules is compared once."""
+    memo: dict[tuple, float] = {}
+
+    def differ(x: tuple, y: tuple) -> float:
+        if (x, y) not in memo:
+            order = sorted(set(r.essential(x)) | set(r.essential(y)))
+            memo[x, y] = float((r.table(_restricted(x, order), order) != r.table(_restricted(y, order), order)).mean())
+        return memo[x, y]
+
+    rows = [(i, j, sum(differ(a.rules[c], b.rules[c]) for c in a.components) / a.n) for (i, a), (j, b) in itertools.combinations(enumerate(networks), 2)]
+    return spark.createDataFrame(rows, "a int, b int, distance double")
+
+
+def ensemble_implicants(spark: SparkSession, networks: list[Network], value: bool = True, prime: bool = False) -> DataFrame:
+    """(network_id, component, implicant map) of every rule; equal rules are expanded once."""
+    expand = r.prime_implicants if prime else r.dnf_implicants
+    memo = {t: expand(t, value) for t in dict.fromkeys(t for n in networks for t in n.rules.values())}
+    rows = [(k, c, cube) for k, n in enumerate(networks) for c, t in n.rules.items() for cube in memo[t]]
+    return spark.createDataFrame(rows, "network_id int, component string, implicant map<string, boolean>")
+
+
+class ExecutableModel:
+    """A network with named initial conditions (component -> value, absent: free) and perturbations (component -> value
+    that replaces its rule)."""
+
+    def __init__(self, network: Network, initial: dict[str, dict[str, bool]] | None = None, perturbations: dict[str, bool] | None = None):
+        self.initial, self.perturbations = dict(initial or {}), dict(perturbations or {})
+        if unknown := ({c for v in self.initial.values() for c in v} | set(self.perturbations)) - set(network.components):
+            raise ValueError(f"no components {sorted(unknown)}")
+        self.network = Network({c: ("const", self.perturbations[c]) if c in self.perturbations else t for c, t in network.rules.items()})
+
+    def states(self, spark: SparkSession, name: str) -> DataFrame:
+        """All states of a named condition."""
+        given, order = self.initial[name], self.network.order
+        fixed, value = sum(1 << order[c] for c in given), sum(1 << order[c] for c, v in given.items() if v)
+        return all_states(spark, self.network).filter(F.col("state").bitwiseAND(F.lit(fixed)) == value)
+
+    def reachable(self, spark: SparkSession, name: str, update: str = "general") -> DataFrame:
+        return reachable(self.states(spark, name), self.network, update)
+
+    def attractors(self, spark: SparkSession, name: str, update: str = "general") -> DataFrame:
+        return attractors(self.states(spark, name), self.network, update)

@@ -179,3 +179,21 @@ def booleanize(levels: DataFrame, most: int) -> DataFrame:
     each = levels.select("*", k.alias("_k"))
     component = F.col("component") if most == 1 else F.concat(F.col("component"), F.lit("_b"), F.col("_k").cast("string"))
     return each.select("name", component.alias("component"), (F.col("level") >= F.col("_k")).alias("value"))
+
+
+def best_mapping(ranked: DataFrame) -> DataFrame:
+    """(old, new): each symbol's best ortholog, for relabelling graphs and cubes."""
+    return ranked.filter("rank = 1").select(F.col("source").alias("old"), F.col("target").alias("new"))
+
+
+def translate_edges(edges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Signed edges between best orthologs; edges with an unmapped end go, equal ones are one."""
+    m = best_mapping(ranked)
+    out = edges.join(m.toDF("source", "_s"), "source").join(m.toDF("target", "_t"), "target")
+    return out.select(F.col("_s").alias("source"), F.col("_t").alias("target"), "sign").distinct()
+
+
+def version_at(versions: DataFrame, date: str) -> DataFrame:
+    """The version rows (version, start, end) whose interval holds the date; an open end holds all later dates."""
+    d = F.to_date(F.lit(date))
+    return versions.filter((F.col("start") <= d) & (F.col("end").isNull() | (d <= F.col("end"))))

@@ -267,3 +267,51 @@ def density(values: DataFrame, value: str, points: int = 50, clip_at: float = 0.
     z = (F.col("at") - F.col("v")) / F.col("_h")
     kernel = F.exp(-z * z / 2) * F.col("n") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
     return counts.crossJoin(F.broadcast(grid)).groupBy("at").agg(F.sum(kernel).alias("density"))
+
+
+def mitochondrial_genes(var: DataFrame, identifiers: DataFrame, name: str = "mt") -> DataFrame:
+    """`var` with a flag for genes on the mitochondrial chromosome (identifiers: alias, chromosome)."""
+    return flag_genes(var, identifiers, "^MT$", "chromosome", name)
+
+
+def ribosomal_genes(var: DataFrame, identifiers: DataFrame, name: str = "rps") -> DataFrame:
+    """`var` with a flag for genes of ribosomal proteins by their symbols (identifiers: alias, symbol)."""
+    return flag_genes(var, identifiers, "(?i)^(rps|rpl|mrps|mrpl)", "symbol", name)
+
+
+def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e-12) -> DataFrame:
+    """(gene, mean, variance, expected, score): variance of counts clipped at mean + sqrt(expected * cells), in units of
+    the variance that a local quadratic fit of log10 variance on log10 mean expects.
+
+    The fit sees one row a gene with positive mean and variance, in one task; counts are clipped and summed where they
+    lie."""
+    import numpy as np
+    import pyarrow as pa
+
+    m = column_moments(x, obs).filter("mean > 0 and variance > 0").select("gene", "n_obs", "mean", "variance")
+
+    def fit(t):
+        a, b = np.log10(t["mean"].to_numpy()), np.log10(t["variance"].to_numpy())
+        n = len(a)
+        k = min(n, max(int(np.ceil(span * n)), 4))
+        order = np.argsort(a, kind="stable")
+        xs, ys = a[order], b[order]
+        out = np.empty(n)
+        lo = 0
+        for i in range(n):  # the k nearest of a sorted row are a window that only moves on
+            while lo + k < n and xs[lo + k] - xs[i] < xs[i] - xs[lo]:
+                lo += 1
+            d = xs[lo : lo + k] - xs[i]
+            w = np.sqrt(np.clip(1 - (np.abs(d) / max(np.abs(d).max(), 1e-12)) ** 3, 0, None) ** 3)
+            basis = np.stack([np.ones(k), d, d * d], axis=1)
+            out[order[i]] = np.linalg.lstsq(basis * w[:, None], ys[lo : lo + k] * w, rcond=None)[0][0]
+        return t.append_column("expected", pa.array(np.maximum(10**out, floor))).drop_columns(["_one"])
+
+    kind = dict(x.dtypes)["gene"]
+    trend = m.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(fit, f"gene {kind}, n_obs long, mean double, variance double, expected double")
+    top = F.col("mean") + F.sqrt(F.col("expected") * F.col("n_obs"))
+    clipped = x.join(F.broadcast(trend), "gene").withColumn("_v", F.least(F.col("value"), top))
+    sums = clipped.groupBy("gene", "n_obs", "mean", "variance", "expected").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+    n, mean = F.col("n_obs"), F.col("mean")
+    score = (n * mean * mean + F.col("_q") - 2 * mean * F.col("_s")) / ((n - 1) * F.col("expected"))
+    return sums.select("gene", "mean", "variance", "expected", score.alias("score"))

@@ -267,6 +267,10 @@ def _disagree(a, b_, name):
     return f"SELECT '{name}' AS component, count(*) FILTER (WHERE {sql(a[name])} <> {sql(b_[name])}) AS disagree, count(*) AS size FROM (SELECT range AS s FROM range(0, {1 << len(order)}))"
 
 
+def _restrict_sql(a, b_, name):
+    return f"SELECT disagree / size AS x FROM ({_disagree(a, b_, name)})"
+
+
 _HAMMING = "h AS (" + " UNION ALL ".join(_disagree(RULES, OTHER, c) for c in RULES) + ")"
 
 
