@@ -8,6 +8,8 @@ doc_id tight enough, that a range of documents or the metadata can be read witho
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import uuid
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import RUN, Encoder, begins_plainly, grouped_sums, ragged
+from .bpe import RUN, Encoder, Numbers, begins_plainly, grouped_sums, ragged
 from .common import bounded_batches, shared_dir
 
 #: Parquet settings of the format. Version 2 pages give DELTA_BINARY_PACKED where there is no dictionary.
@@ -39,34 +41,36 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    """(tokenizer, flags of the ids that start with a blank), once a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    blank = np.zeros(tokenizer.get_vocab_size(), bool)
+    blank[[i for i in range(len(blank)) if tokenizer.id_to_token(i).startswith("\u0120")]] = True  # the byte-level form of a blank
+    return tokenizer, blank
+
+
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library, once for each distinct chunk. Strings of special tokens are ordinary text."""
 
+    block_bytes = 1 << 20  # the library gains nothing from more chunks at once
+
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the byte-level form of a blank
+        self.tokenizer, self.blank = _library(path)
         self.forget()
 
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A mark after letters is a match of its own, so words are encoded once whatever mark follows them."""
-        number: dict[str, int] = {}
-        at: list[int] = []
-        counts = np.ones(len(chunks), np.int64)
-        for i, c in enumerate(chunks):
-            if c[-1] in _MARKS and c[1:-1].isalpha():
-                at.append(number.setdefault(c[:-1], len(number)))
-                at.append(number.setdefault(c[-1], len(number)))
-                counts[i] = 2
-            else:
-                at.append(number.setdefault(c, len(number)))
+        marked = np.fromiter((c[-1] in _MARKS and c[1:-1].isalpha() for c in chunks), bool, len(chunks))
+        counts = 1 + marked.astype(np.int64)
+        pieces = itertools.chain.from_iterable((c[:-1], c[-1]) if m else (c,) for c, m in zip(chunks, marked.tolist(), strict=True))
+        number = Numbers()
+        where = np.fromiter(map(number.__getitem__, pieces), np.int64, int(counts.sum()))
         ids, sizes = self._pieces(list(number))
-        where = np.array(at, np.int64)
         return ragged(ids, (np.cumsum(sizes) - sizes)[where], sizes[where]), grouped_sums(sizes[where], counts)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
