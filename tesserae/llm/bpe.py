@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches
 
 #: Bytes of text that a task holds as one corpus; it bounds memory and does not change any id.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose ids are put together at once.
 SLICE_BYTES = 1 << 19
 #: Chunks kept spelled between blocks of one task, and chunks matched in one run.
-KEEP_CHUNKS, RUN = 200_000, 256
+KEEP_CHUNKS, RUN = 450_000, 256
 
 
 class Merges:
@@ -149,62 +149,74 @@ class Encoder:
     """Texts to ids. A text is cut where white space follows something else (mostly at a blank): no match of the
     pattern crosses such a place, so a chunk's ids depend on the chunk alone and are looked up once it is known."""
 
+    block_bytes = BLOCK_BYTES
+
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.merges, self.pattern = merges(path), regex.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, number of ids of each): all their distinct pieces in one replay."""
         split = matched(chunks, self.pattern)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(p, len(number)) for ps in split for p in ps), np.int64, int(counts.sum()))
+        number = Numbers()
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
         ids, sizes = self.merges.replay([p.encode("utf-8", "surrogatepass") for p in number])
         return ragged(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]), grouped_sums(sizes[at], counts)
 
-    def learn(self, texts: list[str]) -> None:
-        """Spells the chunks of these texts that are not known yet, all at once."""
-        if len(self.known) > KEEP_CHUNKS:
-            self.forget()
-        new: dict[str, None] = {}
-        for t in texts:
-            new.update(dict.fromkeys(itertools.filterfalse(self.known.__contains__, _keys(t))))
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk numbers of all texts one after another, number of chunks of each); new chunks get the next numbers."""
+        keys = [_keys(t) for t in texts]
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        return np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(counts.sum())), counts
+
+    def learn(self) -> None:
+        """Spells the chunks that have a number but no ids yet, all at once."""
+        new = list(itertools.islice(self.known, len(self.sizes), None))
         if new:
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
             ids, sizes = self.spell([k[1:] if k[:1] == " " else " " + k for k in new])
             self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
             self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each) from chunks that `learn` has seen."""
-        keys = [_keys(t) for t in texts]
-        counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        words = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(counts.sum()))
-        sizes = self.sizes[words]
-        return ragged(self.flat, self.starts[words], sizes), grouped_sums(sizes, counts)
+    def ids(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) from what `numbers` gave."""
+        sizes = self.sizes[numbers]
+        return ragged(self.flat, self.starts[numbers], sizes), grouped_sums(sizes, counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        self.learn(texts)
-        return self.lookup(texts)
+        found = self.numbers(texts)
+        self.learn()
+        return self.ids(*found)
 
     def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-        """(rows, their ids, numbers of ids) for batches with a column `text`; null text: empty. Chunks are learnt a
-        block at a time and looked up a slice at a time, so that memory is bounded by the longest text."""
-        for block in blocks(batches, BLOCK_BYTES):
-            self.learn([x or "" for x in block["text"].to_pylist()])
-            for rows in blocks(iter(block.to_batches()), SLICE_BYTES):
-                yield rows, *self.lookup([x or "" for x in rows["text"].to_pylist()])
+        """(rows, their ids, numbers of ids) for batches with a column `text`; null text: empty. Texts are cut a slice at
+        a time, a block's chunks are learnt together, and of a block only its chunk numbers stay until then."""
+        for block in blocks(batches, self.block_bytes):
+            if len(self.known) > KEEP_CHUNKS:
+                self.forget()
+            parts = list(blocks(iter(block.to_batches()), SLICE_BYTES))
+            found = [self.numbers([x or "" for x in rows["text"].to_pylist()]) for rows in parts]
+            self.learn()
+            for rows, x in zip(parts, found, strict=True):
+                yield rows, *self.ids(*x)
+
+
+class Numbers(dict):
+    """Keys numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 def begins_plainly(chunk: str) -> bool:
     """One blank, at the start, and no white space at the end: in a run of such chunks no match crosses into the next,
     and each blank starts a chunk."""
-    return chunk[0] == " " and chunk.count(" ") == 1 and not chunk[-1].isspace()
+    return chunk[0] == " " and chunk.rfind(" ") == 0 and not chunk[-1].isspace()
 
 
 def matched(chunks: list[str], pattern: regex.Pattern) -> list[list[str]]:
