@@ -324,3 +324,14 @@ class ExecutableModel:
 
     def attractors(self, spark: SparkSession, name: str, update: str = "general") -> DataFrame:
         return attractors(self.states(spark, name), self.network, update)
+
+
+def ensemble_nodes(spark: SparkSession, networks: list[Network]) -> DataFrame:
+    """(component, function_count, stability): distinct implicant structures of a component's rules over the networks,
+    and the share of networks that have the commonest."""
+    shape = F.to_json(F.array_sort(F.collect_list(F.to_json("implicant")))).alias("shape")
+    per = ensemble_implicants(spark, networks).groupBy("network_id", "component").agg(shape)
+    # a rule without implicants (never true) has a structure too
+    named = ensemble_frame(spark, networks).select("network_id", "component").join(per, ["network_id", "component"], "left").fillna("[]", ["shape"])
+    counts = named.groupBy("component", "shape").agg(F.count("*").alias("n"))
+    return counts.groupBy("component").agg(F.count("*").alias("function_count"), (F.max("n") / len(networks)).alias("stability"))

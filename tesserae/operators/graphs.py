@@ -330,3 +330,19 @@ def dot_rows(edges: DataFrame) -> DataFrame:
     """(line) of a DOT drawing: one edge a line, negative ones with a flat head."""
     head = F.when(F.col("sign") == -1, "tee").otherwise("normal")
     return edges.select(F.format_string('"%s" -> "%s" [arrowhead=%s];', "source", "target", head).alias("line"))
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges with those of `new`; a signed edge that is there already is an error."""
+    return from_table(edges.unionByName(new, allowMissingColumns=True))
+
+
+def validated_counts(aggregated: DataFrame) -> DataFrame:
+    """The aggregated graph, failing where a count is not between 1 and the total."""
+    bad = ~F.col("count").between(F.lit(1), F.col("total"))
+    return aggregated.withColumn("count", F.when(bad | F.col("count").isNull(), F.raise_error(F.lit("a count is outside 1 .. total"))).otherwise(F.col("count")))
+
+
+def frequency_style(frequency: Column) -> Column:
+    """Line style of an edge by its frequency."""
+    return F.when(frequency < 0.25, "dotted").when(frequency < 0.5, "dashed").when(frequency < 0.75, "solid").otherwise("bold")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import rules as r
 from ..operators import boolean as b
 from ..operators import dynamics as d
-from ..operators import genes, matrix, vectors
+from ..operators import genes, graphs, matrix, vectors
 from .boolean_queries import _CUBES, OTHER, RULES, THIRD, _cubes, _restrict_sql, net
 from .gene_queries import _HCOP, _hcop
+from .graph_queries import _AGG, _yearly
 from .matrix_queries import _part_matrix
 from .tables import customers, read
 from .vector_queries import _grp, _lengths, _vectors
@@ -159,3 +160,14 @@ def windowed_totals(spark, sf):
     from ..streaming.counters import windowed_totals as totals
 
     return totals(read(spark, sf, "events")).withColumn("value", F.round("value", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def ensemble_stability(spark, sf):
+    return d.ensemble_nodes(spark, [net(x) for x in _ALL])
+
+
+@query(f"{_AGG} SELECT source, target, sign, CASE WHEN count / total < 0.25 THEN 'dotted' WHEN count / total < 0.5 THEN 'dashed' WHEN count / total < 0.75 THEN 'solid' ELSE 'bold' END AS style FROM a")
+def edge_styles(spark, sf):
+    aggregated = graphs.validated_counts(graphs.aggregate_graphs(_yearly(spark, sf), "year"))
+    return aggregated.select("source", "target", "sign", graphs.frequency_style(F.col("frequency")).alias("style"))

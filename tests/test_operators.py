@@ -253,3 +253,23 @@ def test_neighbour_graph_kernels(spark):
         assert out.count() == 90
     with pytest.raises(ValueError):
         vectors.in_one_task(fuzzy, lambda t: t, "i long", 5)
+
+
+def test_ensembles(spark):
+    nets = [dynamics.Network(x) for x in ({"A": "B", "B": "A & B"}, {"A": "B", "B": "B & A"}, {"A": "~B", "B": "0"})]
+    got = {q.component: (q.function_count, q.stability) for q in dynamics.ensemble_nodes(spark, nets).collect()}
+    assert got == {"A": (2, pytest.approx(2 / 3)), "B": (2, pytest.approx(2 / 3))}
+    d = {(q.a, q.b): q.distance for q in dynamics.ensemble_distances(spark, nets).collect()}
+    assert d == {(0, 1): 0, (0, 2): (1 + 0.25) / 2, (1, 2): (1 + 0.25) / 2}
+    with pytest.raises(ValueError):
+        dynamics.ensemble_frame(spark, [nets[0], dynamics.Network({"A": "A"})])
+
+
+def test_aggregated_graphs_are_checked(spark):
+    g = edges(spark, "A + B,B - C")
+    assert graphs.add_edges(g, edges(spark, "A - B")).count() == 3
+    with pytest.raises(ValueError):
+        graphs.add_edges(g, edges(spark, "A + B"))
+    bad = spark.createDataFrame([("A", "B", 1, 5, 4, 1.25)], "source string, target string, sign int, count long, total long, frequency double")
+    with pytest.raises(Exception, match="outside"):
+        graphs.validated_counts(bad).collect()

@@ -1,4 +1,4 @@
-"""Every registered query of the reference operators against its SQL, on the smallest tables."""
+"""Every registered analytics query against its SQL, on the smallest tables."""
 
 import math
 
