@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = found.join(nodes, found.node == nodes.fp)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     member = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    of = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that the last join reads both sides straight from shuffles and can split a fingerprint of many copies
+    of = stored(nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
