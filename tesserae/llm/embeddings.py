@@ -197,7 +197,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = classes.select("c", "n", "first").join(links, "c", "left").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     known = stored(known)
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = known.join(least, "component").select("c", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    # stored, so that the joins below read straight from shuffles and can split a vector of many copies
+    of = stored(known.join(least, "component").select("c", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
     member = able.select("_row", "embedding").join(classes.select("embedding", "c"), "embedding").select("_row", "c").join(of, "c")
     out = rows.select("vec_id", "_row").join(member, "_row", "left")
     component = F.when(F.col("c").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
