@@ -51,3 +51,15 @@ def test_operator_edge_rows(spark):
     assert sorted(bytes(r.bytes) for r in back) == [b"", b"", b"ab ab", b"ab ab"]
     assert bpe.round_trip(docs, PATH).count() == 4
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_arrow_and_pattern_cuts_agree(library):
+    """Texts where blanks stand beside other white space, at either end, or nowhere."""
+    rng = random.Random(11)
+    ts = ["", " ", "  ", " a", "a ", "a  b", "a  b", " ", "a\n b c", "a b\n", " a b\n ", "x", "　 y z"] * 3
+    ts += ["".join(rng.choices(["ab", " ", "c", "\n", " ", "!", "  "], k=rng.randint(0, 30))) for _ in range(500)]
+    e = bpe.Encoder(PATH)
+    for part in (ts, ts[::-1], []):
+        ids, counts = e.encode(part)
+        at = np.cumsum(counts) - counts
+        assert [ids[a : a + n].tolist() for a, n in zip(at, counts)] == [library.encode_ordinary(t) for t in part]
