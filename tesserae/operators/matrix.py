@@ -239,11 +239,26 @@ def composition(obs: DataFrame, by: str, of: str, normalize: bool = True) -> Dat
     return counts.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(by))))
 
 
+def running_sum(counts: DataFrame, by: str, order: str, amount: str, out: str, buckets: int = 200) -> DataFrame:
+    """`counts` with `out`, the sum of `amount` up to and with each row in its group, and `{out}_all`, the group's sum.
+
+    Groups may hold any share of the rows: each is cut at approximate quantiles of `order`, running sums are taken
+    inside the cuts and the cuts' own totals (a few hundred rows a group) are added."""
+    steps = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    edges = counts.groupBy(by).agg(F.percentile_approx(order, steps, F.lit(1000)).alias("_edges"))
+    cut = counts.join(F.broadcast(edges), by).withColumn("_cut", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    totals = cut.groupBy(by, "_cut").agg(F.sum(amount).alias("_t"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_t").over(group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(by, "_cut", before.alias("_before"), F.sum("_t").over(group).alias(f"{out}_all"))
+    own = F.sum(amount).over(Window.partitionBy(by, "_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_own", own).join(totals, [by, "_cut"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_own", "_before", "_cut")
+
+
 def ecdf(values: DataFrame, value: str, group: str) -> DataFrame:
-    """(group, value, cdf): empirical distribution at each distinct value, by partial counts and one running sum."""
+    """(group, value, cdf): empirical distribution at each distinct value, from partial counts and their running sums."""
     counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(group, value, ratio(F.sum("_n").over(run), F.sum("_n").over(Window.partitionBy(group))).alias("cdf"))
+    return running_sum(counts, group, value, "_n", "_run").select(group, value, ratio(F.col("_run"), F.col("_run_all")).alias("cdf"))
 
 
 def box_stats(values: DataFrame, value: str, group: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..operators import matrix as m
 from .tables import BRAND_X, BRANDS, CUSTOMERS, EVENT_X, USERS, brand_matrix, brands, customers, event_matrix, read, users
 
@@ -42,7 +43,8 @@ a AS (SELECT gene, median(v) AS med FROM d GROUP BY 1), b AS (SELECT gene, media
 SELECT gene, count(*) FILTER (WHERE v > 0) AS n_barcodes, sum(v) AS total, round(avg(v), 6) AS mean, round(var_samp(v), 4) AS variance, round(100.0 * (1 - count(*) FILTER (WHERE v > 0) / count(*)), 6) AS pct_dropout,
  any_value(med) AS median, any_value(mad) AS mad FROM d JOIN a USING (gene) JOIN b USING (gene) GROUP BY gene""")
 def qc_var(spark, sf):
-    out = m.qc_var(brand_matrix(spark, sf), customers(spark, sf), brands(spark, sf))
+    # the matrix is read four times: computed once
+    out = m.qc_var(settled(brand_matrix(spark, sf)), customers(spark, sf), brands(spark, sf))
     return rounded(rounded(out, "mean", "pct_dropout"), "variance", digits=4)
 
 
