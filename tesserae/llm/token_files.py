@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import RUN, Encoder, Numbers, begins_plainly, grouped_sums, ragged
+from .bpe import KEEP_CHUNKS, RUN, SLICE_BYTES, Encoder, Numbers, begins_plainly, blocks, grouped_sums, ragged
 from .common import bounded_batches, shared_dir
 
 #: Parquet settings of the format. Version 2 pages give DELTA_BINARY_PACKED where there is no dictionary.
@@ -41,6 +42,10 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
+#: Chunks that go to the library's runs at once.
+LEARNT = 40_000
+
+
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
     """(tokenizer, flags of the ids that start with a blank), once a worker."""
@@ -57,12 +62,57 @@ def _library(path: str):
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library, once for each distinct chunk. Strings of special tokens are ordinary text."""
 
-    block_bytes = 1 << 20  # the library gains nothing from more chunks at once
+    block_bytes = 10 << 20
 
     def __init__(self, path: str):
         self.tokenizer, self.blank = _library(path)
         self.forget()
 
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `numbers`, but Arrow cuts at blanks and finds the distinct parts, so that only those are looked up.
+
+        A part that is empty or ends in white space shows a blank that is no place to cut: texts with one are cut by
+        pattern instead."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64) - int(lists.offsets[0].as_py())
+        distinct = lists.flatten().dictionary_encode()
+        del lists
+        parts, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
+        counts = np.diff(offsets)
+        found = np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts))[at]
+        first = offsets[:-1][counts > 0]  # nothing stands before a text's first part, so its key differs
+        found[first] = np.fromiter((self.known[" " + parts[i] if parts[i] else ""] for i in at[first].tolist()), np.int32, len(first))
+        odd = np.fromiter((not p or p[-1].isspace() for p in parts), bool, len(parts))
+        whole = np.flatnonzero(grouped_sums(odd[at].astype(np.int64), counts))
+        if not len(whole):
+            return found, counts
+        each = np.split(found, offsets[1:-1])
+        for i in whole.tolist():
+            each[i] = self.numbers([texts[i].as_py()])[0]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def learn(self) -> None:
+        """Spells new chunks some at a time: the library gains nothing from more at once."""
+        new = list(itertools.islice(self.known, len(self.sizes), None))
+        found = [self.spell([k[1:] if k[:1] == " " else " " + k for k in new[i : i + LEARNT]]) for i in range(0, len(new), LEARNT)]
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        for block in blocks(batches, self.block_bytes):
+            if len(self.known) > KEEP_CHUNKS:
+                self.forget()
+            numbers, counts = self.coded(block["text"].combine_chunks().fill_null(""))
+            pa.default_memory_pool().release_unused()  # the cut texts are gone by now
+            self.learn()
+            row = at = 0
+            for rows in blocks(iter(block.to_batches()), SLICE_BYTES):
+                own = counts[row : row + rows.num_rows]
+                n = int(own.sum())
+                yield rows, *self.ids(numbers[at : at + n], own)
+                row, at = row + rows.num_rows, at + n
+
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A mark after letters is a match of its own, so words are encoded once whatever mark follows them."""
         marked = np.fromiter((c[-1] in _MARKS and c[1:-1].isalpha() for c in chunks), bool, len(chunks))

@@ -52,3 +52,22 @@ def test_empty_table(spark, tmp_path):
     out = str(tmp_path / "tokens")
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, out)
     assert tf.with_crc32(tf.read_tokens(spark, out)).count() == 0
+
+
+def test_cuts_of_odd_blanks_agree_with_whole_texts():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    ts = [None, "", " ", "  ", " a", "a ", "a  b", "a  b", " ", "a\n b c", "a b\n", " a b\n ", "x", "　 y z", "don't, won't. it's|x a,b"] * 3
+    ts += ["".join(rng.choices(["ab", " ", "c,", "\n", " ", "!", "  ", "é."], k=rng.randint(0, 30))) for _ in range(500)]
+    library = plain()
+    e = tf.LibraryEncoder(PATH)
+    for part in (ts, ts[::-1]):
+        got = []
+        for rows, ids, counts in e.encoded(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])])):
+            at = np.cumsum(counts) - counts
+            got += [ids[a : a + n].tolist() for a, n in zip(at, counts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in part]
+    assert list(e.encoded(iter([]))) == []
