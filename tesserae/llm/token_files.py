@@ -1,4 +1,4 @@
-"""Token ids in Parquet files: list columns with a dictionary, delta-encoded positions, bounded row groups and pages.
+"""Token ids in Parquet files: delta-encoded list columns and positions, bounded row groups and pages.
 
 Rows are dealt by ranges of (doc_id, text hash), so the files in order of their part number hold the documents in
 order. Each row carries its start within its part; a part's own start comes from the parts' totals, which a reader
@@ -20,6 +20,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +28,16 @@ from pyspark.sql import functions as F
 from .bpe import KEEP_CHUNKS, RUN, SLICE_BYTES, Encoder, Numbers, begins_plainly, blocks, grouped_sums, ragged
 from .common import bounded_batches, shared_dir
 
-#: Parquet settings of the format. Version 2 pages give DELTA_BINARY_PACKED where there is no dictionary.
+#: Parquet settings of the format. Version 2 pages without dictionaries give DELTA_BINARY_PACKED integers: ids of a
+#: large vocabulary are as small that way as by dictionary, and cheaper to write.
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "false",
-    "parquet.enable.dictionary#ids.list.element": "true",
-    "parquet.dictionary.page.size": str(1 << 20),
     "parquet.columnindex.truncate.length": "64",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
@@ -48,7 +48,7 @@ LEARNT = 40_000
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
-    """(tokenizer, flags of the ids that start with a blank), once a worker."""
+    """(tokenizer, flags of the ids that start with a blank, id of a line feed), once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ def _library(path: str):
     tokenizer.encode_special_tokens = True
     blank = np.zeros(tokenizer.get_vocab_size(), bool)
     blank[[i for i in range(len(blank)) if tokenizer.id_to_token(i).startswith("\u0120")]] = True  # the byte-level form of a blank
-    return tokenizer, blank
+    return tokenizer, blank, tokenizer.token_to_id("\u010a")
 
 
 class LibraryEncoder(Encoder):
@@ -65,7 +65,7 @@ class LibraryEncoder(Encoder):
     block_bytes = 10 << 20
 
     def __init__(self, path: str):
-        self.tokenizer, self.blank = _library(path)
+        self.tokenizer, self.blank, self.feed = _library(path)
         self.forget()
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,39 +114,66 @@ class LibraryEncoder(Encoder):
                 row, at = row + rows.num_rows, at + n
 
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A mark after letters is a match of its own, so words are encoded once whatever mark follows them."""
-        marked = np.fromiter((c[-1] in _MARKS and c[1:-1].isalpha() for c in chunks), bool, len(chunks))
-        counts = 1 + marked.astype(np.int64)
-        pieces = itertools.chain.from_iterable((c[:-1], c[-1]) if m else (c,) for c, m in zip(chunks, marked.tolist(), strict=True))
+        """Ids by distinct pieces: a mark after letters and a line feed inside a chunk are matches of their own, so words
+        are encoded once whatever stands around them."""
+        pieces: list[str] = []
+        counts = np.empty(len(chunks), np.int64)
+        for i, c in enumerate(chunks):
+            had = len(pieces)
+            if "\n" in c and _BROKEN.fullmatch(c):
+                left, _, right = c.partition("\n")
+                _unmarked(left, pieces)
+                pieces.append("\n")
+                _unmarked(right, pieces)
+            else:
+                _unmarked(c, pieces)
+            counts[i] = len(pieces) - had
         number = Numbers()
-        where = np.fromiter(map(number.__getitem__, pieces), np.int64, int(counts.sum()))
+        where = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
         ids, sizes = self._pieces(list(number))
         return ragged(ids, (np.cumsum(sizes) - sizes)[where], sizes[where]), grouped_sums(sizes[where], counts)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Plain pieces go to the library in runs; the ids that start with a blank tell them apart."""
-        order, ids, sizes = [], [], []
-        plain = [i for i, p in enumerate(pieces) if begins_plainly(p)]
-        alone = sorted(set(range(len(pieces))).difference(plain))
-        for k in range(0, len(plain), RUN):
-            part = plain[k : k + RUN]
-            whole = np.array(self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.int32)
-            starts = np.flatnonzero(self.blank[whole])
-            if len(starts) == len(part):
-                order += part
-                ids.append(whole)
-                sizes.append(np.diff(np.append(starts, len(whole))))
-            else:
-                alone += part
+        """Pieces go to the library in runs: those that start with a blank side by side, as the ids that start with a
+        blank tell them apart; those without white space a line each, as a line feed between them is one id."""
+        order, ids, sizes, alone = [], [], [], []
+        plain, bare = [], []
+        for i, p in enumerate(pieces):
+            (plain if begins_plainly(p) else bare if _BARE.fullmatch(p) else alone).append(i)
+        for which, joint in ((plain, ""), (bare, "\n")):
+            for k in range(0, len(which), RUN):
+                part = which[k : k + RUN]
+                whole = np.array(self.tokenizer.encode_batch_fast([joint.join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, np.int32)
+                if joint:
+                    cuts = np.flatnonzero(whole == self.feed)
+                    lengths = np.diff(np.concatenate([[-1], cuts, [len(whole)]])) - 1
+                    whole = np.delete(whole, cuts)
+                else:
+                    lengths = np.diff(np.append(np.flatnonzero(self.blank[whole]), len(whole)))
+                if len(lengths) == len(part) and lengths.sum() == len(whole):
+                    order += part
+                    ids.append(whole)
+                    sizes.append(lengths)
+                else:
+                    alone += part
         for i in alone:
             ids.append(np.array(self.tokenizer.encode_batch_fast([pieces[i]], add_special_tokens=False)[0].ids, np.int32))
-        order += alone
-        sizes.append(np.array([len(x) for x in ids[len(ids) - len(alone) :]], np.int64))
-        back = np.argsort(np.array(order, np.int64))
+            sizes.append(np.array([len(ids[-1])], np.int64))
+        back = np.argsort(np.array(order + alone, np.int64))
         flat, counts = np.concatenate(ids), np.concatenate(sizes)
         return ragged(flat, (np.cumsum(counts) - counts)[back], counts[back]), counts[back]
 
 
+def _unmarked(chunk: str, out: list[str]) -> None:
+    if chunk[-1] in _MARKS and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+        out.append(chunk[:-1])
+        out.append(chunk[-1])
+    else:
+        out.append(chunk)
+
+
+#: A chunk with one line feed between two parts without white space, and text without any.
+_BROKEN, _BARE = regex.compile(r" ?\S+\n\S+"), regex.compile(r"\S+")
 #: Marks that the splitting pattern parts from letters before them.
 _MARKS = frozenset(".,;:!?|")
 
