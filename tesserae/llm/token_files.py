@@ -1,6 +1,6 @@
 """Token ids in Parquet files: delta-encoded list columns and positions, bounded row groups and pages.
 
-Rows are dealt by ranges of (doc_id, text hash), so the files in order of their part number hold the documents in
+Rows are dealt by ranges of (doc_id, length), so the files in order of their part number hold the documents in
 order. Each row carries its start within its part; a part's own start comes from the parts' totals, which a reader
 takes from the narrow columns alone. Row groups and pages are small enough, and the page indexes of the sorted
 doc_id tight enough, that a range of documents or the metadata can be read without the rest.
@@ -62,7 +62,7 @@ def _library(path: str):
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library, once for each distinct chunk. Strings of special tokens are ordinary text."""
 
-    block_bytes = 10 << 20
+    block_bytes = 20 << 20
 
     def __init__(self, path: str):
         self.tokenizer, self.blank, self.feed = _library(path)
@@ -181,8 +181,8 @@ _MARKS = frozenset(".,;:!?|")
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     """Writes ids of `docs` (doc_id, text; other columns ignored) with `end_id` after each document.
 
-    Null text: the end id alone. Null doc_ids come first; rows of one doc_id are ordered by the hash of their text, and
-    equal rows, which cannot be told apart, stay repeated. No file is without a schema, so an empty table reads back."""
+    Null text: the end id alone. Null doc_ids come first; rows of one doc_id are ordered by length and text, and equal
+    rows, which cannot be told apart, stay repeated. No file is without a schema, so an empty table reads back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = LibraryEncoder(tokenizer), 0, TaskContext.get().partitionId()
@@ -194,8 +194,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
             at += int(offsets[-1])
 
     bounded_batches(docs.sparkSession)
-    order = ["doc_id", F.xxhash64("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # rows of one doc_id part by length too, so that no id binds a file to all its rows; only ties compare texts
+    order = ["doc_id", F.octet_length("text")]
+    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ranged.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
