@@ -273,3 +273,14 @@ def test_aggregated_graphs_are_checked(spark):
     bad = spark.createDataFrame([("A", "B", 1, 5, 4, 1.25)], "source string, target string, sign int, count long, total long, frequency double")
     with pytest.raises(Exception, match="outside"):
         graphs.validated_counts(bad).collect()
+
+
+def test_running_sums_and_ecdf_of_a_hot_group(spark):
+    rng = random.Random(0)
+    rows = [("hot" if i % 3 else f"g{i % 5}", float(rng.randint(0, 400))) for i in range(3000)] + [("one", 1.0), ("one", None)]
+    got = {(q.g, q.v): q.cdf for q in matrix.ecdf(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    assert got == {(g, v): pytest.approx(sum(x <= v for x in vs) / len(vs)) for g, vs in by.items() for v in set(vs)}
