@@ -48,24 +48,27 @@ LEARNT = 40_000
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
-    """(tokenizer, flags of the ids that start with a blank, id of a line feed), once a worker."""
+    """(tokenizer as the file has it, the same with added tokens as plain text, the added tokens' strings, flags of the ids
+    that start with a blank, id of a line feed), once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    blank = np.zeros(tokenizer.get_vocab_size(), bool)
-    blank[[i for i in range(len(blank)) if tokenizer.id_to_token(i).startswith("\u0120")]] = True  # the byte-level form of a blank
-    return tokenizer, blank, tokenizer.token_to_id("\u010a")
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    blank = np.zeros(plain.get_vocab_size(), bool)
+    blank[[i for i in range(len(blank)) if plain.id_to_token(i).startswith("\u0120")]] = True  # the byte-level form of a blank
+    return whole, plain, added, blank, plain.token_to_id("\u010a")
 
 
 class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library, once for each distinct chunk. Strings of special tokens are ordinary text."""
+    """Ids by the tokenizers library, once for each distinct chunk. A text with an added token's string (such as
+    `<|endoftext|>`, which the library gives its own id) is handed to the library whole."""
 
     block_bytes = 20 << 20
 
     def __init__(self, path: str):
-        self.tokenizer, self.blank, self.feed = _library(path)
+        self.whole, self.tokenizer, self.added, self.blank, self.feed = _library(path)
         self.forget()
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +106,32 @@ class LibraryEncoder(Encoder):
         for block in blocks(batches, self.block_bytes):
             if len(self.known) > KEEP_CHUNKS:
                 self.forget()
-            numbers, counts = self.coded(block["text"].combine_chunks().fill_null(""))
+            texts = block["text"].combine_chunks().fill_null("")
+            marked = self.marked(texts)
+            numbers, counts = self.coded(pc.if_else(pa.array(marked), "", texts) if marked.any() else texts)
+            del texts
             pa.default_memory_pool().release_unused()  # the cut texts are gone by now
             self.learn()
             row = at = 0
             for rows in blocks(iter(block.to_batches()), SLICE_BYTES):
                 own = counts[row : row + rows.num_rows]
                 n = int(own.sum())
-                yield rows, *self.ids(numbers[at : at + n], own)
+                ids, sizes = self.ids(numbers[at : at + n], own)
+                if (whole := np.flatnonzero(marked[row : row + rows.num_rows])).size:
+                    each = np.split(ids, np.cumsum(sizes)[:-1])
+                    for i in whole.tolist():
+                        each[i] = np.array(self.whole.encode_batch_fast([rows["text"][i].as_py()], add_special_tokens=False)[0].ids, np.int32)
+                    ids, sizes = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+                yield rows, ids, sizes
                 row, at = row + rows.num_rows, at + n
 
+    def marked(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold an added token's string."""
+        out = np.zeros(len(texts), bool)
+        for token in self.added:
+            out |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return out
+
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids by distinct pieces: a mark after letters and a line feed inside a chunk are matches of their own, so words
         are encoded once whatever stands around them."""
@@ -178,11 +197,12 @@ _BROKEN, _BARE = regex.compile(r" ?\S+\n\S+"), regex.compile(r"\S+")
 _MARKS = frozenset(".,;:!?|")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, **layout: str) -> None:
     """Writes ids of `docs` (doc_id, text; other columns ignored) with `end_id` after each document.
 
     Null text: the end id alone. Null doc_ids come first; rows of one doc_id are ordered by length and text, and equal
-    rows, which cannot be told apart, stay repeated. No file is without a schema, so an empty table reads back."""
+    rows, which cannot be told apart, stay repeated. No file is without a schema, so an empty table reads back.
+    layout: Parquet settings in place of those of LAYOUT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = LibraryEncoder(tokenizer), 0, TaskContext.get().partitionId()
@@ -197,7 +217,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
     # rows of one doc_id part by length too, so that no id binds a file to all its rows; only ties compare texts
     order = ["doc_id", F.octet_length("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    ranged.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(path)
+    ranged.mapInArrow(run, SCHEMA).write.options(**LAYOUT | layout).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -211,6 +231,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(parts, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents first <= doc_id <= last. As files, row groups and pages are ordered by
+    doc_id, their statistics leave all others unread."""
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    return rows.filter(F.col("doc_id").between(first, last)).select("doc_id", "n_tokens", "ids")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, part, n_tokens): the narrow columns alone; the ids' pages stay unread."""
+    return spark.read.schema(SCHEMA).parquet(path).select("doc_id", "part", "n_tokens")
+
+
 def with_crc32(tokens: DataFrame) -> DataFrame:
     """Adds ids_crc32 (long, unsigned, of the ids as little-endian 32-bit integers) in place of the ids."""
 

@@ -10,10 +10,8 @@ from tesserae.llm import token_files as tf
 PATH = P.path("byte_bpe_50k.json")
 
 
-def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+def library():
+    return Tokenizer.from_file(PATH)
 
 
 def test_files_hold_every_document_in_order(spark, tmp_path):
@@ -25,7 +23,7 @@ def test_files_hold_every_document_in_order(spark, tmp_path):
     got = sorted(tf.read_tokens(spark, out).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
     at = 0
-    t = plain()
+    t = library()
     want = {}
     for i, text, _ in rows:
         want.setdefault(i, []).append([*t.encode(text or "", add_special_tokens=False).ids, 0])
@@ -60,13 +58,58 @@ def test_cuts_of_odd_blanks_agree_with_whole_texts():
 
     rng = random.Random(11)
     ts = [None, "", " ", "  ", " a", "a ", "a  b", "a  b", " ", "a\n b c", "a b\n", " a b\n ", "x", "　 y z", "don't, won't. it's|x a,b"] * 3
-    ts += ["".join(rng.choices(["ab", " ", "c,", "\n", " ", "!", "  ", "é.", "x\ny", "a,\nb.", "|", "(z)"], k=rng.randint(0, 30))) for _ in range(500)]
-    library = plain()
+    ts += ["".join(rng.choices(["ab", " ", "c,", "\n", " ", "!", "  ", "é.", "x\ny", "a,\nb.", "|", "(z)", "<|endoftext|>", "<|endoftext|"], k=rng.randint(0, 30))) for _ in range(500)]
+    whole = library()
     e = tf.LibraryEncoder(PATH)
     for part in (ts, ts[::-1]):
         got = []
         for rows, ids, counts in e.encoded(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])])):
             at = np.cumsum(counts) - counts
             got += [ids[a : a + n].tolist() for a, n in zip(at, counts)]
-        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in part]
     assert list(e.encoded(iter([]))) == []
+
+
+def test_added_tokens_get_the_librarys_ids():
+    import pyarrow as pa
+
+    end = "<|endoftext|>"
+    ts = [f"a {end} b", end, end + end, f"{end} x", f"x {end}", f" {end}\n{end} ", "<|endoftext", f"q{end}q" * 50, "plain", None]
+    e = tf.LibraryEncoder(PATH)
+    got = []
+    for _, ids, counts in e.encoded(iter([pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], ["text"])])):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [library().encode(t or "", add_special_tokens=False).ids for t in ts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
+def test_very_long_texts(spark, tmp_path):
+    texts = ["x" * 300_000, "ab cd " * 60_000, "\n" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tf.write_tokens(docs, PATH, str(tmp_path / "t"))
+    got = {r.doc_id: list(r.ids) for r in tf.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert all(got[i] == [*library().encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts))
+
+
+def scanned(df):
+    """Rows that the Parquet reader gave and the columns it read, after running `df`."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    node = run.executedPlan()
+    while node.children().size():
+        node = node.children().head()
+    return node.metrics().apply("numOutputRows").value(), node.requiredSchema().fieldNames()
+
+
+def test_selective_reads_skip_rows_and_columns(spark, tmp_path):
+    out = str(tmp_path / "tokens")
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('document number ', id, repeat(' some words', 20)) as text")
+    tf.write_tokens(docs, PATH, out, **{"parquet.block.size": str(1 << 17), "parquet.page.row.count.limit": "100"})
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "tokens").glob("part-*")]
+    assert sum(m.num_row_groups for m in groups) > 3
+    some = tf.read_range(spark, out, 7000, 7100)
+    rows, columns = scanned(some)
+    assert 101 <= rows < 6000 and sorted(columns) == ["doc_id", "ids", "n_tokens"]
+    assert sorted(r.doc_id for r in some.collect()) == list(range(7000, 7101))
+    rows, columns = scanned(tf.read_metadata(spark, out))
+    assert rows == 20_000 and "ids" not in list(columns)
