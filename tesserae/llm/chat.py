@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
 
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 ESC = "\\"
@@ -46,50 +47,72 @@ def unescape_role(c: Column) -> Column:
 
 
 def merged_turns(turns: Column) -> Column:
-    """array<struct<role, texts: array<string>>> from a sorted array of turns; adjacent turns of a role share a block."""
-    block = "array<struct<role:string,texts:array<string>>>"
+    """array<struct<role, texts: array<string>>> from a sorted array of turns; adjacent turns of a role share a block.
 
-    def step(blocks: Column, t: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        own = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        joined = F.array(F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts")))
-        same = (F.size(blocks) > 0) & last["role"].eqNullSafe(t["role"])
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), joined)).otherwise(F.concat(blocks, own)).cast(block)
+    A block is the slice from a turn whose role differs from the one before to the next such turn."""
+    at = F.sequence(F.lit(0), F.size(turns) - 1)
+    begins = F.filter(at, lambda i: (i == 0) | ~F.get(turns, i)["role"].eqNullSafe(F.get(turns, i - 1)["role"]))
 
-    return F.aggregate(turns, F.array().cast(block), step)
+    def block(begins: Column) -> Column:
+        def cut(i: Column, k: Column) -> Column:
+            own = F.slice(turns, i + 1, F.coalesce(F.get(begins, k + 1), F.size(turns)) - i)
+            return F.struct(F.get(turns, i)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+
+        return F.transform(begins, cut)
+
+    return let(begins, block)
+
+
+def starts_of(lengths: Column) -> Column:
+    """Sum of the lengths before each element. Sums grow inside runs of about the root of the number of elements and
+    then over the runs, so that no long array is copied for each element."""
+    empty = F.array().cast("array<bigint>")
+
+    def running(x: Column) -> Column:
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(x, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    width = F.ceil(F.sqrt(F.size(lengths) + F.lit(1))).cast("int")
+
+    def summed(runs: Column) -> Column:
+        bases = running(F.transform(runs, total))
+        return let(bases, lambda b: F.flatten(F.transform(runs, lambda r, k: F.transform(running(r), lambda x: x + F.get(b, k)))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.size(lengths), width), lambda i: F.slice(lengths, i + 1, width))
+    return let(runs, summed)
 
 
 def format_chat(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) per conversation of `rows` (conv_id, turn, role, text; other columns ignored).
 
-    Order: turn (null first), then role, then text, so ties and repeated rows have one result; repeated rows stay
-    separate turns. Null role or text: empty. Null conv_id: one conversation of its own. Empty table: no rows.
+    Order: turn (null first), then role, then text as given, so ties and repeated rows have one result; repeated rows
+    stay separate turns. Null role or text: empty. Null conv_id: one conversation of its own. Empty table: no rows.
+    A conversation is one row by nature, so its turns must fit one (2 GB).
     loss_spans: array of (start, length), 1-based code points of `formatted`, one for each assistant text."""
-    clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ready = clean.select("conv_id", F.struct("turn", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text")).alias("t"))
-    turns = ready.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = turns.select("conv_id", merged_turns(F.col("turns")).alias("blocks"))
+    clean = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    turns = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # controls are escaped once the turns are in order
+    safe = lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"))
+    blocks = turns.select("conv_id", F.transform("turns", safe).alias("turns")).select("conv_id", merged_turns(F.col("turns")).alias("blocks"))
     head = lambda b: F.concat(F.lit(OPEN), b["role"], F.lit("\n"))
     piece = lambda b: F.concat(head(b), F.array_join(b["texts"], SEP), F.lit(CLOSE + "\n"))
+    made = blocks.select("conv_id", "blocks", F.transform("blocks", piece).alias("pieces"))
 
-    def spans(block: Column, at: Column) -> Column:
-        """Spans of one block's texts, the block's own start being `at`."""
-        first = at + F.length(head(block))
-        start = F.struct(first.cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-        add = lambda a, t: F.struct((a["at"] + F.length(t) + len(SEP)).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.length(t).alias("length")))).alias("out"))
-        return F.aggregate(block["texts"], start, add, lambda a: a["out"])
+    def spans(starts: Column) -> Column:
+        """Spans of the texts of each block that counts, from the blocks' own starts."""
 
-    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
+        def own(b: Column, k: Column) -> Column:
+            first = F.get(starts, k) + F.length(head(b)) + 1
+            lengths = F.transform(b["texts"], lambda t: F.length(t))
+            before = starts_of(F.transform(lengths, lambda n: (n + len(SEP)).cast("long")))
+            each = let(before, lambda x: F.transform(lengths, lambda n, i: F.struct((first + F.get(x, i)).cast("int").alias("start"), n.alias("length"))))
+            return F.when(b["role"] == LOSS_ROLE, each).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
 
-    def walk(a: Column, b: Column) -> Column:
-        own = F.when(b["role"] == LOSS_ROLE, spans(b, a["at"])).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-        return F.struct((a["at"] + F.length(piece(b))).cast("int").alias("at"), F.concat(a["out"], own).alias("out"))
+        return F.flatten(F.transform("blocks", own))
 
-    return blocks.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", piece), "").alias("formatted"),
-        F.aggregate("blocks", begin, walk, lambda a: a["out"]).alias("loss_spans"),
-    )
+    lengths = F.transform("pieces", lambda p: F.length(p).cast("long"))
+    return made.select("conv_id", F.array_join("pieces", "").alias("formatted"), let(starts_of(lengths), spans).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
@@ -115,7 +138,8 @@ def control_conversation(spark: SparkSession) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every conversation formatted, read back and digested. Nulls, ties and empty tables as in `format_chat`."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    back = read_chat(format_chat(rows.unionByName(control_conversation(spark))))
+    # apart from the table's, so that a conversation -1 of its own stays one
+    back = read_chat(format_chat(rows).unionByName(format_chat(control_conversation(spark))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -134,14 +158,14 @@ _ESCAPED_CHARS = "length({c})" + "".join(
 #: Formatted length: each turn's escaped text, each block's head and close, and a separator between merged turns.
 OP10_SQL = f"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT false AS own, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT true, -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT true, -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (
-  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS same FROM rows)
+  SELECT *, lag(role) OVER (PARTITION BY own, conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS same FROM rows)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(CASE WHEN same THEN {len(SEP)} ELSE {len(OPEN) + len(CLOSE) + 2} + length(role) END + {_ESCAPED_CHARS.format(c="text")}) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY own, conv_id
 """
