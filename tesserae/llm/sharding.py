@@ -2,8 +2,8 @@
 
 Each shard owns `vnodes` points of a ring of 2^30 positions; a key belongs to the first point clockwise of its own
 hash. A shard takes keys up to its capacity; keys that find it full go on clockwise. The placement is decided on
-counts, not rows: the ring has shards x vnodes arcs whatever the data's size, so only that bounded table reaches the
-driver. Rows then find their shard from their rank in their arc by a join with the arcs' few segments.
+counts, not rows: arcs are counted in parts of about PART_ROWS rows, so a table of arcs x parts reaches the driver.
+Rows then find their shard from their rank in their part by a join with the parts' few segments.
 """
 
 from __future__ import annotations
@@ -15,20 +15,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import stored
+from .common import places, stored
 
 RING = 1 << 30
-#: Parts of an arc that are ranked apart, so that no window holds a whole arc.
-PARTS = 16
-MAX_ARCS = 20_000
+#: Rows that are ranked together, about: an arc is cut into parts of so many, at least LEAST_PARTS.
+PART_ROWS, LEAST_PARTS = 1 << 20, 16
+#: Segments that are broadcast; more are joined.
+MOST_BROADCAST = 100_000
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
     """Sorted (position, shard) of all virtual nodes."""
-    if shards * vnodes > MAX_ARCS:
-        raise ValueError(f"{shards} x {vnodes} arcs; at most {MAX_ARCS}")
     at = lambda s, v: int.from_bytes(hashlib.md5(f"{s}/{v}".encode()).digest()[:8], "big") % RING
     return sorted((at(s, v), s) for s in range(shards) for v in range(vnodes))
 
@@ -81,34 +79,38 @@ def _arc(position: Column, nodes: list[tuple[int, int]]) -> Column:
     points = [p for p, _ in nodes]
     first = [bisect.bisect_left(points, c * width) for c in range(cells)]
     inside = [points[first[c] : bisect.bisect_left(points, (c + 1) * width)] for c in range(cells)]
-    table = F.array(*[F.struct(F.lit(f).alias("first"), F.array(*map(F.lit, xs)).cast("array<int>").alias("inside")) for f, xs in zip(first, inside, strict=True)])
+    listed = json.dumps([{"first": f, "inside": xs} for f, xs in zip(first, inside, strict=True)])
+    table = F.from_json(F.lit(listed), "array<struct<first:int,inside:array<int>>>")
     cell = F.get(table, F.floor(position / width).cast("int"))
     return ((cell["first"] + F.size(F.filter(cell["inside"], lambda x: x < position))) % len(nodes)).cast("int")
 
 
-def shard_rows(docs: DataFrame, key: Column, shards: int = 24, vnodes: int = 16, load_factor: float = 1.0) -> DataFrame:
-    """`docs` with int `shard` and long `slot` (gapless from 0 within the shard). Input must be repeatable.
+def shard_rows(docs: DataFrame, key: Column, tie: Column, shards: int = 24, vnodes: int = 16, load_factor: float = 1.0) -> DataFrame:
+    """`docs` with int `shard` and long `slot` (gapless from 0 within the shard).
 
-    Rows of one key keep one ring position, in the order of their bytes' hash; null keys share one. Reruns agree as
-    rows tie only when they are equal in key and `docs`' own `_tie`. Any key may hold any share of the rows: its rows
-    are ranked in PARTS parts, and overflow to further shards. Empty table: no rows."""
+    Rows of one key keep one ring position; null keys share one. Reruns agree, however the rows are stored: rows that
+    are equal in `tie` are taken for equal. Any key, and any tie, may hold any share of the rows: they are ranked in
+    parts, and overflow to further shards. Columns named as the results are replaced. Empty table: no rows."""
     nodes = ring(shards, vnodes)
     position = F.pmod(F.xxhash64(key), F.lit(RING)).cast("int")
-    placed = docs.withColumn("_arc", _arc(position, nodes)).withColumn("_part", F.pmod(F.xxhash64("_tie", F.lit("part")), F.lit(PARTS)).cast("int"))
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = stored(docs.select(*columns, _arc(position, nodes).alias("_arc"), tie.alias("_tie"), F.monotonically_increasing_id().alias("_uid")))
+    n = rows.count()
+    parts = max(LEAST_PARTS, -(-n // (PART_ROWS * len(nodes))))
+    part = F.pmod(F.xxhash64("_tie", F.lit("part")), F.lit(parts)).cast("int")
+    placed = rows.withColumn("_part", part)
     counts = {(r["_arc"], r["_part"]): r["n"] for r in placed.groupBy("_arc", "_part").agg(F.count("*").alias("n")).collect()}
-    n = sum(counts.values())
     segments = place(counts, nodes, shards, capacities(n, shards, load_factor))
     schema = "array<struct<_arc:int,_part:int,_start:bigint,_n:bigint,shard:int,_slot:bigint>>"
     listed = json.dumps([dict(_arc=x.arc, _part=x.part, _start=x.start, _n=x.n, shard=x.shard, _slot=x.slot) for x in segments])
     where = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), schema)))
-    rank = F.row_number().over(Window.partitionBy("_arc", "_part").orderBy(F.xxhash64("_tie"), "_tie")) - 1
-    ranked = placed.withColumn("_rank", rank.cast("long"))
-    inside = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
+    ranked = places(placed, ["_arc", "_part"], "_tie")
+    inside = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_n"))
+    # a part has a segment for each shard it overflows to, and there are arcs x parts of them: small beside the rows
     return (
-        ranked.join(F.broadcast(where), ["_arc", "_part"])
+        ranked.join(F.broadcast(where) if len(segments) <= MOST_BROADCAST else where, ["_arc", "_part"])
         .filter(inside)
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_start"))
-        .drop("_arc", "_part", "_start", "_n", "_slot", "_rank")
+        .select(*columns, "shard", (F.col("_slot") + F.col("_at") - F.col("_start")).alias("slot"))
     )
 
 
@@ -122,8 +124,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     # digests only: the texts are read once and never shuffled
-    docs = stored(docs.withColumn("_tie", F.struct("doc_id", "size", "text_crc32")))
-    out = shard_rows(docs, F.col("doc_id"))
+    out = shard_rows(docs, F.col("doc_id"), F.struct("doc_id", "size", "text_crc32"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
