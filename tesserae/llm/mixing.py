@@ -8,7 +8,6 @@ source's slots run through its blocks in a pseudorandom order, pass after pass.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,20 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, places, stored
 
 BLOCK, SHARDS, SEED, MOST = 32, 64, 20, 3.0
 #: Repeating weights by the sources' order (fixed by the contract).
 WEIGHTS = (5.0, 2.0, 1.0)
 ROUNDS = 12
-#: Slots that one task row stands for, and documents in one prefix-sum group.
-CHUNK, GROUP = 1 << 14, 1000
-#: Sources are a dimension of the corpus, planned on the driver; beyond this the plan refuses.
-MAX_SOURCES = 200_000
+#: Slots that one task row stands for and that one task makes, and documents in one prefix-sum group.
+CHUNK, TASK, GROUP = 1 << 14, 1 << 18, 1000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """`docs` with long `size` (words of the text; null: 0) and long `_crc` of the text."""
+    """`docs` with long `size` (words of the text; null: 0) and long `_crc` of the text; columns of these names go."""
+    docs = docs.drop("size", "_crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,16 +97,15 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return i.astype(np.int64)
 
 
-def _listed(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table planned on the driver, as one literal."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+def _listed(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A table planned on the driver."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> list[dict]:
-    """A row for each source: its number, size, target, blocks and slots. Sources by code point, null last."""
-    found = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    """A row for each source: its number, size, target, blocks and slots. Sources by code point, null last. Sources are a
+    dimension of the corpus: the driver holds a row for each, and SHARDS slot counts."""
+    found = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found = sorted(((r["source"], int(r["n"] or 0)) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
     want = targets([n for _, n in found], [weights[k % len(weights)] for k in range(len(found))], most)
     out = []
@@ -120,33 +117,37 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
 
 def placed(docs: DataFrame, sources: list[dict]) -> DataFrame:
-    """`docs` with _uid, _src and _at, the words of its source laid before it (order: a hash, then doc_id)."""
+    """`docs` (stored, with _uid) with _src and _at, the words of its source laid before it (order: a hash, then doc_id).
+
+    Documents are summed in groups of about GROUP, groups in spans of GROUP groups, so no window grows with a source."""
     spark = docs.sparkSession
-    dim = _listed(spark, sources, "src:int,source:string,source_size:bigint,target:double")
-    dim = dim.select(F.col("src").alias("_src"), F.col("source").alias("_name"), "source_size", "target")
-    docs = docs.join(F.broadcast(dim), docs.source.eqNullSafe(dim._name)).drop("_name")
+    column = lambda name, kind: pa.array([s[name] for s in sources], kind)
+    dim = _listed(spark, {"_src": column("src", pa.int32()), "_name": column("source", pa.string()), "source_size": column("source_size", pa.int64()), "target": column("target", pa.float64())})
+    docs = docs.drop("_src", "source_size", "target").join(dim, docs.source.eqNullSafe(dim._name)).drop("_name")
     groups = max(1, -(-docs.count() // GROUP))
-    docs = docs.withColumn("_group", F.pmod(F.xxhash64("doc_id", "_crc"), F.lit(groups)))
-    sums = docs.groupBy("_src", "_group").agg(F.sum("size").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("_src", "_group", F.coalesce(before, F.lit(0)).alias("_base"))
-    own = F.sum("size").over(Window.partitionBy("_src", "_group").orderBy("doc_id", "_crc", "_uid").rowsBetween(Window.unboundedPreceding, -1))
-    out = docs.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, ["_src", "_group"])
-    return out.withColumn("_at", F.col("_base") + F.col("_own")).drop("_base", "_own", "_group")
+    tied = docs.withColumn("_group", F.pmod(F.xxhash64("doc_id", "_crc"), F.lit(groups))).withColumn("_tie", F.struct("doc_id", "_crc", "size"))
+    sums = tied.groupBy("_src", "_group").agg(F.sum("size").alias("_sum")).withColumn("_span", F.floor(F.col("_group") / GROUP))
+    spans = sums.groupBy("_src", "_span").agg(F.sum("_sum").alias("_total"))
+    up = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("_src", "_span", up("_total", ["_src"], "_span").alias("_first"))
+    sums = sums.withColumn("_second", up("_sum", ["_src", "_span"], "_group")).join(spans, ["_src", "_span"])
+    out = places(tied, ["_src", "_group"], "_tie", F.col("size")).withColumnRenamed("_at", "_own")
+    out = out.join(sums.select("_src", "_group", (F.col("_first") + F.col("_second")).alias("_base")), ["_src", "_group"])
+    return out.withColumn("_at", F.col("_base") + F.col("_own")).drop("_base", "_own", "_group", "_tie")
 
 
 def slots(spark: SparkSession, sources: list[dict], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(shard, slot, _src, _block) of every slot of the mix."""
     counts = draw([s["slots"] for s in sources], shards, seed)
     firsts = np.cumsum(counts, axis=0) - counts
-    rows = [
-        {"shard": m, "src": k, "first": int(firsts[m, k]), "n": int(counts[m, k]), "blocks": sources[k]["blocks"]}
-        for m in range(shards)
-        for k in np.flatnonzero(counts[m]).tolist()
-    ]
-    listed = _listed(spark, rows, "shard:int,src:int,first:bigint,n:bigint,blocks:bigint")
+    m, k = np.nonzero(counts)
+    blocks = np.array([s["blocks"] for s in sources], np.int64)
+    rows = {"shard": m.astype(np.int32), "src": k.astype(np.int32), "first": firsts[m, k], "n": counts[m, k], "blocks": blocks[k]}
+    listed = _listed(spark, {c: pa.array(x) for c, x in rows.items()})
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
-    chunks = listed.withColumn("part", part).repartition("shard", "src", "part")
+    # dealt by the number of slots, which the few bytes of their description do not tell
+    tasks = max(1, min(-(-int(counts.sum()) // TASK), 1 << 16))
+    chunks = listed.withColumn("part", part).repartition(tasks, "shard", "src", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +176,7 @@ def mixed(docs: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
 
 def prepared(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, list[dict]]:
     """Documents with sizes and places, and the sources' plan. The texts are read once."""
-    base = sized(docs).withColumn("_uid", F.monotonically_increasing_id())
+    base = sized(docs.drop("_uid")).withColumn("_uid", F.monotonically_increasing_id())
     base = stored(base if keep_text else base.drop("text"))
     sources = plan(base)
     return placed(base, sources), sources
