@@ -194,19 +194,21 @@ def linked(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, look = 0, HELD
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < HELD:
+            if rows < look:
                 continue
             t = pa.Table.from_batches(held)
             choice, start, fp = (t[c].to_numpy() for c in ("choice", "start", "fp"))
             # the last subtree may go on in the next batch
-            cut = int(np.flatnonzero((choice[1:] != choice[:-1]) | (start[1:] != start[:-1]))[-1:].sum()) + 1 if (choice[0], start[0]) != (choice[-1], start[-1]) else 0
+            ends = np.flatnonzero((choice[1:] != choice[:-1]) | (start[1:] != start[:-1]))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
             if cut:
                 yield from found(choice[:cut], fp[:cut])
             held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+            look = max(HELD, 2 * rows)  # a subtree that fills what is held is looked at again when it has doubled
         if rows:
             t = pa.Table.from_batches(held)
             yield from found(t["choice"].to_numpy(), t["fp"].to_numpy())

@@ -101,3 +101,16 @@ def test_operator_on_edge_rows(spark):
     want = brute_components(list({d: (d, f) for d, f in items if d is not None}.values()))
     assert sorted(got, key=str) == sorted([(d, f, want.get(d)) for d, f in items], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_texts_and_one_subtree_beyond_what_is_held(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 64)
+    long = "word other third " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, long + "end"), (3, "x" * 400_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {1: (brute_fingerprint(long), 1), 2: (brute_fingerprint(long + "end"), 1), 3: (brute_fingerprint("x" * 400_000), 3)}
+    base = random.Random(3).getrandbits(64) >> 12 << 12
+    fps = sorted({base | random.Random(i).getrandbits(12) for i in range(900)})
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    links = simhash.linked(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    assert {x for r in links for x in (r.u, r.v)} == set(signed)
