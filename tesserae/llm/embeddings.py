@@ -42,6 +42,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two that brings their largest component near 1: squares stay in range and no bit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows whose vector can link: not null, not zero, no null or non-finite component."""
     v = F.col(vector)
@@ -105,7 +110,7 @@ def compare(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.nda
             x, y, got = x[once], y[once], got[once]
         close = np.flatnonzero(np.abs(got - threshold) <= NEAR)
         if close.size:
-            p, q = a[x[close]], b[y[close]]
+            p, q = _scaled(a[x[close]]), _scaled(b[y[close]])
             got[close] = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
         hit = got >= threshold
         if hit.any():

@@ -62,3 +62,17 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert got(embeddings.near_vectors(df)) == brute(rows)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_huge_tiny_and_repeated_vectors_at_the_threshold(spark):
+    """cos of (1, 0) and (9, x) is 0.9 where x = sqrt(19); both sides of it, at scales whose squares leave the range."""
+    x = math.sqrt(19)
+    flat = [[1.0, 0.0], [9.0, x], [9.0, math.nextafter(x, 0)], [9.0, math.nextafter(x, 9) + 1e-12], [9.0, x + 1e-3]]
+    plain = [(i, v) for i, v in enumerate(flat)]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(plain)
+    assert got(embeddings.near_vectors(df(plain))) == want
+    for scale in (2.0**600, 2.0**-600):
+        assert got(embeddings.near_vectors(df([(i, [c * scale for c in v]) for i, v in plain]))) == want
+    twice = [(i, [c * s for c in v]) for s in (2.0**600, 2.0**-600) for i, v in plain]
+    assert all(r[1] >= 1 for r in got(embeddings.near_vectors(df(twice))))
