@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of smallest doc_id (null first; of equal ids any one).
 
-    Rows are told apart by a number of their own, so repeated rows and ids leave one row a group too."""
-    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    Rows are told apart by a number of their own, stored with them, so repeated rows and ids leave one row a group too."""
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
     found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
     ids = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
     kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
