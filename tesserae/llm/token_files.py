@@ -9,7 +9,6 @@ doc_id tight enough, that a range of documents or the metadata can be read witho
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 import uuid
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEEP_CHUNKS, RUN, SLICE_BYTES, Encoder, Numbers, begins_plainly, blocks, grouped_sums, ragged
+from .bpe import RUN, SLICE_BYTES, Encoder, Numbers, _keys, begins_plainly, blocks, grouped_sums, ragged
 from .common import bounded_batches, shared_dir
 
 #: Parquet settings of the format. Version 2 pages without dictionaries give DELTA_BINARY_PACKED integers: ids of a
@@ -42,10 +41,6 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
-#: Chunks that go to the library's runs at once.
-LEARNT = 40_000
-
-
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
     """(tokenizer as the file has it, the same with added tokens as plain text, the added tokens' strings, flags of the ids
@@ -69,49 +64,84 @@ class LibraryEncoder(Encoder):
 
     def __init__(self, path: str):
         self.whole, self.tokenizer, self.added, self.blank, self.feed = _library(path)
-        self.forget()
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As `numbers`, but Arrow cuts at blanks and finds the distinct parts, so that only those are looked up.
+        """(chunk numbers of all texts one after another, number of chunks of each); the chunks' ids are kept for `ids`.
 
-        A part that is empty or ends in white space shows a blank that is no place to cut: texts with one are cut by
-        pattern instead."""
+        Arrow cuts at blanks and finds the distinct parts; each is a chunk after a blank. Plain words, with or without a
+        mark at their end, are spelled from Arrow columns; parts with a line feed, the first part of a text (nothing
+        stands before it) and texts with a blank that is no place to cut (a part that is empty or ends in white space
+        shows it) are cut one by one."""
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64) - int(lists.offsets[0].as_py())
         distinct = lists.flatten().dictionary_encode()
         del lists
-        parts, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
-        counts = np.diff(offsets)
-        found = np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts))[at]
-        first = offsets[:-1][counts > 0]  # nothing stands before a text's first part, so its key differs
-        found[first] = np.fromiter((self.known[" " + parts[i] if parts[i] else ""] for i in at[first].tolist()), np.int32, len(first))
-        odd = np.fromiter((not p or p[-1].isspace() for p in parts), bool, len(parts))
+        parts, at, counts = distinct.dictionary, distinct.indices.to_numpy(), np.diff(offsets)
+        last = pc.utf8_slice_codeunits(parts, -1).dictionary_encode()
+        ends, ending = last.dictionary.to_pylist(), last.indices.to_numpy()
+        odd = np.fromiter((not c or c.isspace() for c in ends), bool, len(ends))[ending]
+        broken = pc.match_substring(parts, "\n").to_numpy(zero_copy_only=False) & ~odd
+        easy = np.flatnonzero(~odd & ~broken)
+        body = pc.utf8_slice_codeunits(parts, 0, -1)
+        marked = np.fromiter((c in _MARKS for c in ends), bool, len(ends))[ending] & pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(marked), body, parts).take(pa.array(easy)).dictionary_encode()
+        flat, sizes = self.words(words.dictionary)
+        where = words.indices.to_numpy()
+        sizes, own = sizes[where], (np.cumsum(sizes) - sizes)[where]
+        marked = marked[easy]
+        marks = np.array([self._alone(c)[0] if c in _MARKS else 0 for c in ends], np.int32)
+        flat = np.insert(ragged(flat, own, sizes), np.cumsum(sizes)[marked], marks[ending[easy[marked]]])
+        # numbers: the easy parts, those with a line feed, then single chunks
+        number = np.zeros(len(parts), np.int32)
+        number[easy] = np.arange(len(easy))
+        number[broken] = len(easy) + np.arange(int(broken.sum()))
+        others = [" " + p for p in parts.filter(pa.array(broken)).to_pylist()]
+        single = Numbers()
+        found = number[at]
+        base = len(easy) + len(others)
+        first = offsets[:-1][counts > 0]
+        found[first] = base + np.fromiter((single[p] for p in parts.take(pa.array(at[first])).to_pylist()), np.int32, len(first))
         whole = np.flatnonzero(grouped_sums(odd[at].astype(np.int64), counts))
-        if not len(whole):
-            return found, counts
-        each = np.split(found, offsets[1:-1])
-        for i in whole.tolist():
-            each[i] = self.numbers([texts[i].as_py()])[0]
-        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-
-    def learn(self) -> None:
-        """Spells new chunks some at a time: the library gains nothing from more at once."""
-        new = list(itertools.islice(self.known, len(self.sizes), None))
-        found = [self.spell([k[1:] if k[:1] == " " else " " + k for k in new[i : i + LEARNT]]) for i in range(0, len(new), LEARNT)]
-        self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
-        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+        if len(whole):
+            each = np.split(found, offsets[1:-1])
+            for i in whole.tolist():
+                each[i] = base + np.array([single[k[1:] if k[:1] == " " else " " + k] for k in _keys(texts[i].as_py())], np.int32)
+            found, counts = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+        rest, rest_sizes = self.spell([*others, *(c for c in single)])
+        self.flat, self.sizes = np.concatenate([flat, rest]), np.concatenate([sizes + marked, rest_sizes])
         self.starts = np.cumsum(self.sizes) - self.sizes
+        return found, counts
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words without white space, each after a blank, number of ids of each): words go to the library side by
+        side, as the ids that start with a blank tell them apart."""
+        n = len(words)
+        if not n:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        cuts = np.append(np.arange(0, n, RUN), n).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()
+        ids, sizes = [], []
+        for k in range(0, len(runs), 64):
+            for run, lo, hi, got in zip(runs[k : k + 64], cuts[k:], cuts[k + 1 :], self.tokenizer.encode_batch_fast([" " + r for r in runs[k : k + 64]], add_special_tokens=False), strict=False):
+                own = np.array(got.ids, np.int32)
+                lengths = np.diff(np.append(np.flatnonzero(self.blank[own]), len(own)))
+                if len(lengths) != hi - lo or lengths.sum() != len(own):
+                    each = [self._alone(" " + w) for w in run.split(" ")]
+                    own, lengths = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+                ids.append(own)
+                sizes.append(lengths)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _alone(self, chunk: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, np.int32)
 
     def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
         for block in blocks(batches, self.block_bytes):
-            if len(self.known) > KEEP_CHUNKS:
-                self.forget()
             texts = block["text"].combine_chunks().fill_null("")
             marked = self.marked(texts)
             numbers, counts = self.coded(pc.if_else(pa.array(marked), "", texts) if marked.any() else texts)
             del texts
             pa.default_memory_pool().release_unused()  # the cut texts are gone by now
-            self.learn()
             row = at = 0
             for rows in blocks(iter(block.to_batches()), SLICE_BYTES):
                 own = counts[row : row + rows.num_rows]
@@ -133,7 +163,7 @@ class LibraryEncoder(Encoder):
         return out
 
     def spell(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by distinct pieces: a mark after letters and a line feed inside a chunk are matches of their own, so words
+        """(ids of all chunks, number of ids of each) by distinct pieces: a mark after letters and a line feed inside a chunk are matches of their own, so words
         are encoded once whatever stands around them."""
         pieces: list[str] = []
         counts = np.empty(len(chunks), np.int64)
@@ -176,14 +206,18 @@ class LibraryEncoder(Encoder):
                 else:
                     alone += part
         for i in alone:
-            ids.append(np.array(self.tokenizer.encode_batch_fast([pieces[i]], add_special_tokens=False)[0].ids, np.int32))
+            ids.append(self._alone(pieces[i]))
             sizes.append(np.array([len(ids[-1])], np.int64))
+        if not pieces:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         back = np.argsort(np.array(order + alone, np.int64))
         flat, counts = np.concatenate(ids), np.concatenate(sizes)
         return ragged(flat, (np.cumsum(counts) - counts)[back], counts[back]), counts[back]
 
 
 def _unmarked(chunk: str, out: list[str]) -> None:
+    if not chunk:
+        return
     if chunk[-1] in _MARKS and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
         out.append(chunk[:-1])
         out.append(chunk[-1])
