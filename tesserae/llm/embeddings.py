@@ -2,12 +2,12 @@
 
 Vectors are scaled to length 1 and turned so that the leading dimensions hold the most energy. Vectors within the
 threshold differ by at most sqrt(2 - 2t) in every turned dimension, so a grid of that width over the two leading ones
-leaves each cell only its neighbours; cells are cut into tiles of about TILE vectors and tiles of neighbouring cells
-are compared in pairs. A tile pair adds up inner products a few dimensions at a time; the rest is bounded by the
+leaves each cell only its neighbours; cells are cut along the third into tiles of about TILE vectors, and tiles of
+neighbouring cells are compared in pairs unless their boxes in the leading dimensions lie too far apart. A tile pair adds up inner products a few dimensions at a time; the rest is bounded by the
 product of the suffix norms, and rows, columns or pairs that cannot reach the threshold any more are dropped.
 
 Equal vectors are one class with a count. A tile pair reports link counts and a spanning forest, never pairs. All
-pairs of neighbouring tiles are exact work: where the leading dimensions part nothing, it grows with the square.
+pairs of near tiles are exact work: where the leading dimensions part nothing, it grows with the square.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .components import components
 from .simhash import Forest
 
 THRESHOLD, TILE, ROWS = 0.9, 4096, 512
-#: Dimensions added before each look at the bound.
-STAGES = (8, 16, 32)
+#: Dimensions added before each look at the bound, dimensions of a tile's box, steps in which a cell is cut.
+STAGES, BOX, CUTS = (8, 16, 32), 8, 64
 #: Below this share of pairs still alive they are followed one by one.
 SPARSE = 0.02
 #: Products this near the threshold are taken again from the vectors as given.
@@ -127,29 +127,39 @@ def class_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD) -> D
         for b in batches:
             if not b.num_rows:
                 continue
-            lead = np.floor(_unit(_matrix(b["embedding"], dim)) @ basis[:, :2] / width).astype(np.int32)
-            second = lead[:, 1] if lead.shape[1] > 1 else np.zeros(len(lead), np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lead[:, 0].copy()), pa.array(second.copy())], [*b.schema.names, "x", "y"])
-
-    celled = stored(classes.select("c", "n", "embedding").mapInArrow(cells, f"c long, n long, embedding {dict(classes.dtypes)['embedding']}, x int, y int"))
-    counts = celled.groupBy("x", "y").agg(F.count("*").alias("k"))  # at most a few hundred cells
-    parts = counts.select("x", "y", F.ceil(F.col("k") / TILE).alias("parts"))
-    tiled = celled.join(F.broadcast(parts), ["x", "y"]).withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+            lead = np.zeros((b.num_rows, 3))
+            lead[:, : min(dim, 3)] = _unit(_matrix(b["embedding"], dim)) @ basis[:, :3]
+            x, y = np.floor(lead[:, :2] / width).astype(np.int32).T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x.copy()), pa.array(y.copy()), pa.array(lead[:, 2].copy())], [*b.schema.names, "x", "y", "z"])
+
+    celled = stored(classes.select("c", "n", "embedding").mapInArrow(cells, f"c long, n long, embedding {dict(classes.dtypes)['embedding']}, x int, y int, z double"))
+    edges = F.percentile_approx("z", F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)]), F.lit(1000)).alias("edges")
+    counts = celled.groupBy("x", "y").agg(F.ceil(F.count("*") / TILE).alias("parts"), edges)  # at most a few hundred cells
+    step = F.size(F.filter("edges", lambda e: e < F.col("z")))
+    wide = F.ceil(F.col("parts") / CUTS)  # tiles of one step, beyond CUTS tiles a cell
+    part = F.when(F.col("parts") <= CUTS, F.floor(step * F.col("parts") / CUTS)).otherwise(step * wide + F.pmod(F.xxhash64("c"), wide))
+    tiled = celled.join(F.broadcast(counts), ["x", "y"]).withColumn("part", part.cast("int"))
 
     def pack(key, t):
         v = t["embedding"].combine_chunks().flatten()
-        wide = np.float32 if v.type == pa.float32() else np.float64
-        raw = v.to_numpy(zero_copy_only=False).astype(wide).tobytes()
+        kind = np.float32 if v.type == pa.float32() else np.float64
+        raw = v.to_numpy(zero_copy_only=False).astype(kind)
+        lead = _unit(raw.astype(np.float64).reshape(-1, dim)) @ basis[:, :BOX]
         own = [pa.array([k.as_py()], pa.int32()) for k in key]
-        return pa.Table.from_arrays([*own, *(pa.array([x], pa.binary()) for x in (t["c"].to_numpy().tobytes(), t["n"].to_numpy().tobytes(), raw))], ["x", "y", "part", "ids", "counts", "raw"])
+        box = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (lead.min(axis=0), lead.max(axis=0))]
+        return pa.Table.from_arrays([*own, *(pa.array([x], pa.binary()) for x in (t["c"].to_numpy().tobytes(), t["n"].to_numpy().tobytes(), raw.tobytes())), *box], ["x", "y", "part", "ids", "counts", "raw", "lo", "hi"])
 
-    tiles = stored(tiled.select("x", "y", "part", "c", "n", "embedding").groupBy("x", "y", "part").applyInArrow(pack, "x int, y int, part int, ids binary, counts binary, raw binary"))
-    names = tiles.select("x", "y", "part")
+    tiles = stored(tiled.select("x", "y", "part", "c", "n", "embedding").groupBy("x", "y", "part").applyInArrow(pack, "x int, y int, part int, ids binary, counts binary, raw binary, lo array<double>, hi array<double>"))
+    names = tiles.select("x", "y", "part", "lo", "hi")
     ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    first = names.select("x", "y", "part", F.explode(ahead).alias("to"))
-    first = first.select("x", "y", "part", (F.col("x") + F.col("to.i")).alias("x2"), (F.col("y") + F.col("to.j")).alias("y2"))
-    second = names.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"))
+    first = names.select("x", "y", "part", "lo", "hi", F.explode(ahead).alias("to"))
+    first = first.select("x", "y", "part", "lo", "hi", (F.col("x") + F.col("to.i")).alias("x2"), (F.col("y") + F.col("to.j")).alias("y2"))
+    second = names.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = first.join(second, ["x2", "y2"]).filter((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")) | (F.col("part") <= F.col("part2")))
+    # vectors of two boxes differ by the boxes' gaps at least
+    gap = lambda a, b: F.zip_with(a, b, lambda p, q: F.pow(F.greatest(p - q, F.lit(0.0)), F.lit(2.0)))
+    apart = F.aggregate(F.concat(gap("lo", "hi2"), gap("lo2", "hi")), F.lit(0.0), lambda a, x: a + x)
+    pairs = pairs.filter(apart <= 2 - 2 * threshold + 1e-6).select("x", "y", "part", "x2", "y2", "part2")
     left = tiles.select("x", "y", "part", *[F.col(c).alias(f"{c}1") for c in ("ids", "counts", "raw")])
     right = tiles.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "counts", "raw")])
     work = pairs.join(left, ["x", "y", "part"]).join(right, ["x2", "y2", "part2"])
