@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     put what must outlive an executor. A session on one machine (tests, benches) gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         where = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
