@@ -117,7 +117,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
 
 def placed(docs: DataFrame, sources: list[dict]) -> DataFrame:
-    """`docs` (stored, with _uid) with _src and _at, the words of its source laid before it (order: a hash, then doc_id).
+    """`docs` (stored, with _uid; narrow, as they are shuffled) with _src and _at, the words of its source laid before it (order: a hash, then doc_id).
 
     Documents are summed in groups of about GROUP, groups in spans of GROUP groups, so no window grows with a source."""
     spark = docs.sparkSession
@@ -174,12 +174,13 @@ def mixed(docs: DataFrame, sources: list[dict], block: int = BLOCK, shards: int
     return slots(docs.sparkSession, sources, shards, seed).hint("merge").join(pieces.hint("merge"), ["_src", "_block"]).select("shard", "slot", "_uid", "first_word", "n_words")
 
 
-def prepared(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Documents with sizes and places, and the sources' plan. The texts are read once."""
+def prepared(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(documents with sizes, without their texts unless kept, and _uid; their places without texts; the sources' plan).
+    The texts are read once."""
     base = sized(docs.drop("_uid")).withColumn("_uid", F.monotonically_increasing_id())
     base = stored(base if keep_text else base.drop("text"))
     sources = plan(base)
-    return placed(base, sources), sources
+    return base, placed(base.select("_uid", "doc_id", "source", "size", "_crc"), sources), sources
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null or blank text: size 0, taken 0. Null source: a source of its own, last. A source without words has target 0.
     Null doc_id and repeated rows: rows of their own. Extra columns are ignored; an empty table gives no rows."""
-    docs, sources = prepared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), keep_text=False)
+    _, docs, sources = prepared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), keep_text=False)
     docs = stored(docs)
     taken = mixed(docs, sources).groupBy("_uid").agg(F.sum("n_words").alias("taken"))
     out = docs.join(taken, "_uid", "left")
@@ -206,9 +207,8 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, n_chars) as the mix has them: a document taken k times is k rows, each with
     the words that are taken so often; documents without taken words go. Columns are those of `docs`; n_chars follows."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    base, sources = prepared(docs.select(*names))
-    base = stored(base)
-    times = mixed(base.select("_uid", "_src", "_at", "size"), sources).groupBy("_uid", "first_word", "n_words").agg(F.count("*").alias("times"))
+    base, places_, sources = prepared(docs.select(*names))
+    times = mixed(places_.select("_uid", "_src", "_at", "size"), sources).groupBy("_uid", "first_word", "n_words").agg(F.count("*").alias("times"))
     spans = times.groupBy("_uid").agg(F.collect_list(F.struct("first_word", "n_words", "times")).alias("_spans"))
     joined = base.select("_uid", *names).join(spans, "_uid").drop("_uid")
 

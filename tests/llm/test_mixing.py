@@ -38,7 +38,7 @@ def test_mix_meets_targets(spark):
     docs = spark.createDataFrame([(*r, 1) for r in corpus()], "doc_id long, text string, source string, size int")
 
     def run():
-        placed, sources = mixing.prepared(docs, keep_text=False)
+        _, placed, sources = mixing.prepared(docs, keep_text=False)
         taken = mixing.mixed(placed, sources).groupBy("_uid").sum("n_words").withColumnRenamed("sum(n_words)", "taken")
         return placed.join(taken, "_uid", "left").fillna(0, ["taken"]).select("doc_id", "source", "size", "source_size", "target", "taken").toPandas()
 
@@ -75,7 +75,7 @@ def test_taken_equals_brute_force(spark, partitions):
     """Documents laid end to end by hand, and every slot's block looked up word by word."""
     rows = [*corpus(), *[(None, "again and again", "s2")] * 50]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(partitions, "text")
-    base, sources = mixing.prepared(docs, keep_text=False)
+    _, base, sources = mixing.prepared(docs, keep_text=False)
     taken = mixing.mixed(base, sources, shards=8).groupBy("_uid").sum("n_words").withColumnRenamed("sum(n_words)", "taken")
     got = collections.Counter((r.doc_id, r.source, r.size, r.taken or 0) for r in base.join(taken, "_uid", "left").collect())
     groups = max(1, -(-len(rows) // mixing.GROUP))
@@ -99,10 +99,10 @@ def test_taken_equals_brute_force(spark, partitions):
 
 def test_long_texts_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "word " * 200_000, "a"), (2, "x", "b"), (3, None, None)], "doc_id long, text string, source string")
-    base, sources = mixing.prepared(docs, keep_text=False)
+    _, base, sources = mixing.prepared(docs, keep_text=False)
     got = {r._uid: r.n for r in mixing.mixed(base, sources).groupBy("_uid").agg(F.sum("n_words").alias("n")).collect()}
     assert sum(got.values()) == pytest.approx(200_001, rel=0.01)
-    assert mixing.prepared(docs.limit(0), keep_text=False)[0].count() == 0
+    assert mixing.prepared(docs.limit(0), keep_text=False)[1].count() == 0
 
 
 def test_mixed_texts_have_the_taken_words(spark):
