@@ -197,3 +197,18 @@ def version_at(versions: DataFrame, date: str) -> DataFrame:
     """The version rows (version, start, end) whose interval holds the date; an open end holds all later dates."""
     d = F.to_date(F.lit(date))
     return versions.filter((F.col("start") <= d) & (F.col("end").isNull() | (d <= F.col("end"))))
+
+
+def network_mapping(components: list[str], mapping: DataFrame) -> dict[str, str]:
+    """New names of a network's components by (old, new): a row a component at most. Two that meet are an error."""
+    rows = mapping.filter(F.col("old").isin(*components)).collect() if components else []
+    out = {r["old"]: r["new"] for r in rows}
+    if len({out.get(c, c) for c in components}) < len(components):
+        raise ValueError("two components would have one name")
+    return out
+
+
+def alias_mapping(aliases: DataFrame, genes: DataFrame, names: DataFrame, output: str = "symbol") -> DataFrame:
+    """(old, new) of the names (column `old`) that mean a gene, for relabelling graphs, cubes and networks."""
+    found = convert(names.select("old").distinct(), "old", aliases, genes, output, False)
+    return found.filter(F.col("converted").isNotNull()).select("old", F.col("converted").alias("new"))

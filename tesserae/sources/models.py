@@ -14,7 +14,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import SparkSession
 
-from ..operators.dynamics import Network
+from ..operators.dynamics import ExecutableModel, Network
 
 
 def _bytes(spark: SparkSession, path: str) -> bytes:
@@ -211,3 +211,18 @@ def read_zginml(spark: SparkSession, path: str) -> Network:
         if len(found) != 1:
             raise ValueError("one .ginml in the archive expected")
         return parse_ginml(z.read(found[0]))
+
+
+def read_model(spark: SparkSession, path: str) -> ExecutableModel:
+    """A ZGINML archive with its named initial conditions (Boolean components only; levels above 1 are read as true)."""
+    data = _bytes(spark, path)
+    network = read_zginml(spark, path)
+    initial: dict[str, dict[str, bool]] = {}
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in z.namelist():
+            if not name.endswith("initialState"):
+                continue
+            for k, s in enumerate(_find(ElementTree.fromstring(z.read(name)), "initialState")):
+                pairs = [p.split(";") for p in (_attr(s, "value", "") or "").split()]
+                initial[_attr(s, "name", f"state{k}")] = {c: int(v) > 0 for c, v in pairs if c in network.order}
+    return ExecutableModel(network, initial)

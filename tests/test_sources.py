@@ -6,43 +6,47 @@ import json
 import pytest
 
 from tesserae.functions import rules as r
-from tesserae.operators.dynamics import Network
-from tesserae.sources import models, readers, writers
+from tesserae.operators import genes
+from tesserae.operators.dynamics import Ensemble, ExecutableModel, Network
+from tesserae.sources import catalogue, models, readers, resources, writers
 from tesserae.streaming import counters
 
 
 def test_bnet_files(spark, tmp_path):
-    (tmp_path / "a.bnet").write_text("# model\nA, B & !C\n\nB, 1\nC, 0 # off\n")
-    (tmp_path / "b.bnet").write_text("A, B\nB, (A | B), \n".replace(", \n", "\n"))
-    one = readers.read_bnet(spark, str(tmp_path / "a.bnet"))
-    assert {(q.component, q.rule) for q in one.collect()} == {("A", "B & ~C"), ("B", "1"), ("C", "0")}
+    (tmp_path / "light.bnet").write_text("# who switches whom\nlamp, door & !night\n\ndoor, 1\nnight, 0 # never\n")
+    (tmp_path / "loop.bnet").write_text("left, right\nright, (left | right)\n")
+    one = readers.read_bnet(spark, str(tmp_path / "light.bnet"))
+    rules = {"lamp": "door & ~night", "door": "1", "night": "0"}
+    assert {q.component: q.rule for q in one.collect()} == rules
     both = readers.read_bnet(spark, str(tmp_path), recursive=True)
     assert both.select("network").distinct().count() == 2 and readers.validate_network(both).count() == 0
-    net = Network({q.component: q.rule for q in one.collect()})
-    (tmp_path / "c.bnet").write_text(writers.bnet_text(net))
-    again = readers.read_bnet(spark, str(tmp_path / "c.bnet"))
-    assert {q.component: q.rule for q in again.collect()} == {q.component: q.rule for q in one.collect()}
+    net = Network(rules)
+    (tmp_path / "copy.bnet").write_text(writers.bnet_text(net))
+    assert {q.component: q.rule for q in readers.read_bnet(spark, str(tmp_path / "copy.bnet")).collect()} == rules
     writers.write_bnet(one, str(tmp_path / "out.bnet"))
     assert readers.read_bnet(spark, str(tmp_path / "out.bnet")).count() == 3
+    assert writers.exchange_text(net, "mpbn").splitlines()[0] == "lamp, door & !night"
+    with pytest.raises(ValueError):
+        writers.exchange_text(net, "word")
 
 
 def test_hypercubes(spark, tmp_path):
-    (tmp_path / "h.csv").write_text(",hc1,hc2\nA,0,1\nB,,0\n")
-    want = {("hc1", "A", False), ("hc1", "B", None), ("hc2", "A", True), ("hc2", "B", False)}
-    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "h.csv")).collect()} == want
-    (tmp_path / "t.csv").write_text("name,A,B\nhc1,0,*\nhc2,1,0\n")
-    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "t.csv"), "rows").collect()} == want
-    (tmp_path / "h.json").write_text(json.dumps({"hc1": {"A": 0, "B": "*"}, "hc2": {"A": 1, "B": 0}}))
-    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "h.json")).collect()} == want
+    (tmp_path / "columns.csv").write_text(",dawn,dusk\nlamp,1,*\ndoor,,1\n")
+    want = {("dawn", "lamp", True), ("dawn", "door", None), ("dusk", "lamp", None), ("dusk", "door", True)}
+    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "columns.csv")).collect()} == want
+    (tmp_path / "rows.csv").write_text("when,lamp,door\ndawn,true,\ndusk,*,1.0\n")
+    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "rows.csv"), "rows").collect()} == want
+    (tmp_path / "both.json").write_text(json.dumps({"dawn": {"lamp": 1, "door": "*"}, "dusk": {"lamp": "*", "door": 1}}))
+    assert {tuple(q) for q in readers.read_hypercubes(spark, str(tmp_path / "both.json")).collect()} == want
 
 
 def test_edges(spark, tmp_path):
-    (tmp_path / "e.csv").write_text("source,target,sign,confidence\nA,B,1,high\nB,C,-1,low\nC,A,,unknown\n")
-    got = readers.read_influence_graph(spark, str(tmp_path / "e.csv"))
-    assert {(q.source, q.sign) for q in got.collect()} == {("A", 1), ("B", -1)}
-    (tmp_path / "x.csv").write_text("source,target\nA,B\n")
+    (tmp_path / "signed.csv").write_text("source,target,sign,paper\nfox,hare,-1,p1\ngrass,hare,positive,p2\nhare,grass,?,p3\n")
+    got = readers.read_influence_graph(spark, str(tmp_path / "signed.csv"))
+    assert {(q.source, q.sign, q.paper) for q in got.collect()} == {("fox", -1, "p1"), ("grass", 1, "p2")}
+    (tmp_path / "bare.csv").write_text("source,target\nfox,hare\n")
     with pytest.raises(ValueError):
-        readers.read_influence_graph(spark, str(tmp_path / "x.csv"))
+        readers.read_influence_graph(spark, str(tmp_path / "bare.csv"))
     writers.write_dot(got, str(tmp_path / "dot"))
     assert spark.read.text(str(tmp_path / "dot")).count() == 2
 
@@ -115,3 +119,113 @@ def test_stream_equals_table(spark, tmp_path):
     got = {(q.start, q.cell, q.gene): (round(q.value, 6), q.n) for q in spark.table("totals").collect()}
     assert got == {(q.start, q.cell, q.gene): (round(q.value, 6), q.n) for q in whole.collect()}
     assert counters.running_qc(whole).count() > 0
+
+
+def test_models_are_saved_and_read_back(spark, tmp_path):
+    net = Network({"door": "door", "lamp": "door ^ night", "night": "~lamp | door", "off": "0"})
+    model = ExecutableModel(net, {"evening": {"door": True, "night": False}}, parameters={"speed": 1}, metadata={"by": "test"})
+    path = str(tmp_path / "m.zginml")
+    writers.save_model(model, path)
+    back = models.read_model(spark, path)
+    assert back.network.components == net.components and back.initial == model.initial
+    assert all(r.equivalent(back.network.rules[c], net.rules[c]) for c in net.components)
+    assert model.parameters == {"speed": 1} and model.metadata == {"by": "test"}
+    with pytest.raises(ValueError):
+        writers.save_model(model, str(tmp_path / "m.txt"))
+
+
+def test_conditions_and_quantifiers(spark):
+    model = ExecutableModel(Network({"a": "a | b", "b": "b", "c": "a"}), {"start": {"a": False, "b": True, "c": False}})
+    assert model.transition(spark, "start", {"a": True}) and not model.transition(spark, "start", {"a": True, "c": True}, "asynchronous", "exists")
+    assert model.reachability(spark, "start", {"a": True, "c": True}) and not model.reachability(spark, "start", {"b": False}, quantifier="exists")
+
+
+def test_ensembles_keep_one_set_of_components(spark):
+    e = Ensemble([Network({"a": "b", "b": "1"})])
+    e.append({"a": "0", "b": "a"})
+    e.insert(0, {"b": "a", "a": "a"})
+    e[1] = {"a": "1", "b": "0"}
+    assert len(e) == 3 and r.to_text(e[1].rules["a"]) == "1" and e.frame(spark).count() == 6
+    e[0:2] = [{"a": "b", "b": "b"}]
+    del e[0]
+    assert [r.to_text(n.rules["b"]) for n in e] == ["a"]
+    with pytest.raises(ValueError):
+        e.append({"a": "1"})
+    assert len(Ensemble(components=["a"])) == 0
+
+
+HCOP = """human_symbol\tmouse_symbol\trat_symbol\tc.elegans_symbol\tsupport
+GENE1\tGene1\tGene1r\tgen-1\tA,B,C,D
+GENE1\tGene1b\t-\tgen-1\tA,B,C
+GENE2\tGene1\tGene2r\tgen-2\tA,B,C
+GENE3\tGene3\tGene3r\tgen-3\tA
+-\tGene4\tGene4r\tgen-4\tA,B,C,D
+"""
+
+
+def test_ortholog_tables(spark, tmp_path):
+    (tmp_path / "hcop.tsv").write_text(HCOP)
+    path = str(tmp_path / "hcop.tsv")
+    rows = {(q.source, q.target, q.evidence) for q in resources.read_hcop(spark, path, "mouse").collect()}
+    assert rows == {("GENE1", "Gene1", 4), ("GENE1", "Gene1b", 3), ("GENE2", "Gene1", 3)}
+    assert resources.read_hcop(spark, path, "c.elegans", 1).count() == 4
+    to_human = {(q.source, q.target, q["rank"]) for q in resources.read_orthologs(spark, {"mouse": path}, "human", "mouse").collect()}
+    assert to_human == {("Gene1", "GENE1", 1), ("Gene1", "GENE2", 2), ("Gene1b", "GENE1", 1)}
+    across = {(q.source, q.target, q.evidence) for q in resources.read_orthologs(spark, {"mouse": path, "rat": path}, "rat", "mouse").collect()}
+    assert across == {("Gene1", "Gene1r", 4), ("Gene1", "Gene2r", 3), ("Gene1b", "Gene1r", 3)}
+    lists = {q.source: q.targets for q in resources.ortholog_lists(resources.read_orthologs(spark, {"mouse": path}, "mouse")).collect()}
+    assert lists == {"GENE1": ["Gene1", "Gene1b"], "GENE2": ["Gene1"]}
+    for bad in (lambda: resources.read_hcop(spark, path, "human"), lambda: resources.read_hcop(spark, path, "cat"), lambda: resources.read_hcop(spark, path, "mouse", 0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+ARCHIVE = """source\ttarget\tsource_genesymbol\ttarget_genesymbol\tis_stimulation\tis_inhibition\tconsensus_stimulation\tconsensus_inhibition\tcollectri\tdorothea\tdorothea_level\tncbi_tax_id_target\tunused
+1\t2\tTF1_TF2\tT\tTrue\tFalse\tTrue\tFalse\tTrue\tFalse\t\t9606\tx
+1\t3\tTF1\tU\tFalse\tTrue\tFalse\tTrue\tTrue\tTrue\tA;B\t9606\tx
+1\t4\tTF1\tV\tTrue\tTrue\tTrue\tTrue\tTrue\tTrue\tD\t9606\tx
+1\t5\tTF1\tW\tTrue\tFalse\tTrue\tFalse\tFalse\tTrue\tC\t10090\tx
+"""
+
+
+def test_interaction_archives(spark, tmp_path):
+    for name in ("20200101-20201231.tsv", "20210101-20211231.tsv"):
+        (tmp_path / f"omnipath_webservice_interactions__{name}").write_text(ARCHIVE if "2021" in name else ARCHIVE.splitlines()[0] + "\n")
+    folder = str(tmp_path)
+    assert [q.version for q in resources.archive_versions(spark, folder).orderBy("start").collect()] == ["2020-01-01..2020-12-31", "2021-01-01..2021-12-31"]
+    assert "20200101" in resources.resolve_archive(spark, folder, "2020-06-15") and "2021" in resources.resolve_archive(spark, folder)
+    with pytest.raises(ValueError):
+        resources.resolve_archive(spark, folder, "2019-01-01")
+    path = resources.resolve_archive(spark, folder)
+    assert "unused" not in resources.read_interactions(spark, path, "collectri").columns
+    assert {tuple(q) for q in resources.collectri(spark, path).collect()} == {("TF1_TF2", "T", 1), ("TF1", "U", -1)}
+    assert resources.collectri(spark, path, split=True).count() == 3
+    assert {tuple(q) for q in resources.dorothea(spark, path).collect()} == {("TF1", "U", -1, "A"), ("TF1", "W", 1, "C")}
+    assert resources.load_interactions_version(spark, folder, "dorothea", "2021-02-02", organism=10090).count() == 1
+    assert resources.load_interactions_version(spark, folder, "collectri", "2020-02-02").count() == 0
+    with pytest.raises(ValueError):
+        resources.read_interactions(spark, path, "other")
+
+
+def test_identifier_types(spark, tmp_path):
+    (tmp_path / "g.tsv").write_text("1\tA\tA1\tal\tMGI:5|Ensembl:E1\t3\tncRNA\n2\tB\tB\t-\tHGNC:7\t-\tpseudo\n")
+    info = readers.read_gene_info(spark, str(tmp_path / "g.tsv"))
+    assert resources.databases(info) == ["HGNC", "MGI"]
+    assert resources.input_identifier_types(info) == ("name", "gene_id", "ensembl_id", "HGNC", "MGI")
+    assert {tuple(q) for q in resources.by_identifier(info, "MGI").collect()} == {("5", "1")}
+    assert {tuple(q) for q in resources.by_identifier(info, "ensembl_id").collect()} == {("E1", "1")}
+    assert {(q.gene_id, q.HGNC) for q in resources.with_identifiers(info, "HGNC").collect()} == {("1", None), ("2", "7")}
+    mapping = genes.alias_mapping(resources.by_identifier(info, "name"), info, spark.createDataFrame([("al",), ("b",), ("zz",)], "old string"))
+    assert genes.network_mapping(["al", "zz"], mapping) == {"al": "A"}
+
+
+def test_catalogue(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    c = catalogue.Catalogue()
+    c.register("numbers", str(tmp_path / "p"), about="three of them")
+    assert c.available() == ["numbers"] and c.load(spark, "numbers").count() == 3 and c.info("numbers")["about"] == "three of them"
+    c.clear("numbers")
+    with pytest.raises(KeyError):
+        c.info("numbers")
+    with pytest.raises(ValueError):
+        c.register("x", "y", "zip")
