@@ -20,6 +20,16 @@ def clip(x: Column, most: float) -> Column:
     return F.greatest(F.least(x, F.lit(float(most))), F.lit(-float(most)))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! for doubles n of 0 or more: Stirling's series at n + 9, less the logarithm of the nine factors between."""
+    x = n + 10.0
+    series = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    between = n + 1.0
+    for k in range(2, 10):
+        between = between * (n + float(k))
+    return series - F.ln(between)
+
+
 #: Rational approximations of erf and erfc by Cody (1969); fixed published values, highest power first.
 _P1 = (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
 _Q1 = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and read from the shared checkpoint folder; a folder of our own only where none is named."""
-    context = df.sparkSession.sparkContext
+    """`df` computed once and read from the checkpoint folder that the cluster's machines share. Only a session on one
+    machine gets a folder of its own where none is named."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

@@ -57,15 +57,24 @@ def cube_masks(cubes: DataFrame, components: list[str]) -> DataFrame:
     )
 
 
+def _outranked(kinds: DataFrame, pick: str) -> DataFrame:
+    """Of distinct (fixed_mask, value_mask), those strictly inside (`maximal`) or around (`minimal`) another of them.
+
+    Cubes that fix fewer components are found by equality: of the masks that occur, each pair of a mask and one inside
+    it says which bits of the finer cube's values a coarser one must have. Masks are few beside the cubes."""
+    masks = kinds.select("fixed_mask").distinct()
+    pairs = masks.join(masks.select(F.col("fixed_mask").alias("_less")), (F.col("_less") != F.col("fixed_mask")) & (F.col("_less").bitwiseAND(F.col("fixed_mask")) == F.col("_less")))
+    finer = kinds.join(pairs, "fixed_mask").withColumn("_part", F.col("value_mask").bitwiseAND(F.col("_less")))
+    if pick == "maximal":
+        coarser = kinds.select(F.col("fixed_mask").alias("_less"), F.col("value_mask").alias("_part"))
+        return finer.join(coarser, ["_less", "_part"], "left_semi").select("fixed_mask", "value_mask").distinct()
+    return finer.select(F.col("_less").alias("fixed_mask"), F.col("_part").alias("value_mask")).distinct()
+
+
 def _extreme(masks: DataFrame, pick: str) -> DataFrame:
-    """Cubes that are not strictly inside (or around) another: compared among distinct pairs of masks only."""
+    """Cubes that are not strictly inside (or around) another."""
     kinds = masks.select("fixed_mask", "value_mask").distinct()
-    other = kinds.select(F.col("fixed_mask").alias("f"), F.col("value_mask").alias("v"))
-    a, b = (("fixed_mask", "value_mask"), ("f", "v")) if pick == "maximal" else (("f", "v"), ("fixed_mask", "value_mask"))
-    # a inside b: b fixes fewer components, and a agrees on them
-    inside = (F.col(a[0]).bitwiseAND(F.col(b[0])) == F.col(b[0])) & (F.col(a[1]).bitwiseAND(F.col(b[0])) == F.col(b[1]))
-    strict = (F.col("fixed_mask") != F.col("f")) & inside
-    return masks.join(kinds.join(other, strict, "left_anti"), ["fixed_mask", "value_mask"], "left_semi").select("cube")
+    return masks.join(_outranked(kinds, pick), ["fixed_mask", "value_mask"], "left_anti").select("cube")
 
 
 def maximal(masks: DataFrame) -> DataFrame:
@@ -83,6 +92,79 @@ def inside(masks: DataFrame, fixed: int, value: int) -> DataFrame:
     return masks.filter((F.col("fixed_mask").bitwiseAND(F.lit(fixed)) == fixed) & (F.col("value_mask").bitwiseAND(F.lit(fixed)) == value))
 
 
+def around(masks: DataFrame, fixed: int, value: int) -> DataFrame:
+    """Cubes around the given one: they fix nothing that it leaves free, and agree with it."""
+    return masks.filter((F.col("fixed_mask").bitwiseAND(F.lit(fixed)) == F.col("fixed_mask")) & (F.lit(value).bitwiseAND(F.col("fixed_mask")) == F.col("value_mask")))
+
+
+def collected(masks: DataFrame) -> DataFrame:
+    """(fixed_mask, value_mask) of a collection: each cube once."""
+    return masks.select("fixed_mask", "value_mask").distinct()
+
+
+def with_cubes(masks: DataFrame, new: DataFrame) -> DataFrame:
+    """The collection with the cubes of `new`."""
+    return collected(masks.select("fixed_mask", "value_mask").union(new.select("fixed_mask", "value_mask")))
+
+
+def without_cubes(masks: DataFrame, gone: DataFrame) -> DataFrame:
+    """The collection without the cubes of `gone`; absent ones do not matter."""
+    return collected(masks).join(gone.select("fixed_mask", "value_mask"), ["fixed_mask", "value_mask"], "left_anti")
+
+
+def has_cube(masks: DataFrame, fixed: int, value: int) -> DataFrame:
+    """(contained): whether the cube itself is in the collection."""
+    return masks.agg(F.coalesce(F.bool_or((F.col("fixed_mask") == fixed) & (F.col("value_mask") == value)), F.lit(False)).alias("contained"))
+
+
+def same_collections(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(equal, size): whether two collections have the same cubes, and the size of the first."""
+    both = collected(a).withColumn("_a", F.lit(1)).join(collected(b).withColumn("_b", F.lit(1)), ["fixed_mask", "value_mask"], "full")
+    return both.agg((F.count_if(F.col("_a").isNull() | F.col("_b").isNull()) == 0).alias("equal"), F.count("_a").alias("size"))
+
+
+def fixed_components(cubes: DataFrame) -> DataFrame:
+    """(component) of those that some cube fixes."""
+    return cubes.filter(F.col("value").isNotNull()).select("component").distinct()
+
+
+def compress(masks: DataFrame, n: int) -> DataFrame:
+    """(fixed_mask, value_mask) of disjoint cubes that make up the same states, fewer where two that differ in one fixed
+    bit could become one: bit by bit, each cube is merged with its twin if that is there. Not always the fewest."""
+    out = collected(masks)
+    for i in range(n):
+        bit = F.lit(1 << i)
+        fixes = F.col("fixed_mask").bitwiseAND(bit) != 0
+        rest = F.col("value_mask").bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << i)))
+        pairs = out.filter(fixes).groupBy("fixed_mask", rest.alias("_rest")).agg(F.count("*").alias("_n"), F.max("value_mask").alias("_value"))
+        merged = pairs.select(F.when(F.col("_n") == 2, F.col("fixed_mask").bitwiseXOR(bit)).otherwise(F.col("fixed_mask")).alias("fixed_mask"), F.when(F.col("_n") == 2, F.col("_rest")).otherwise(F.col("_value")).alias("value_mask"))
+        out = out.filter(~fixes).union(merged)
+    return out
+
+
+def symbol(v: Column) -> Column:
+    """0, 1 or * of a partial Boolean."""
+    return F.when(v, "1").when(~v, "0").otherwise("*")
+
+
+def is_fixed(v: Column) -> Column:
+    return v.isNotNull()
+
+
+def is_free(v: Column) -> Column:
+    return v.isNull()
+
+
+def possibilities(v: Column) -> Column:
+    """The values that a partial Boolean allows, in order."""
+    return F.when(v, F.array(F.lit(1))).when(~v, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+
+
+def to_kleene(v: Column) -> Column:
+    """A partial Boolean read as a Kleene value: the same symbol, `*` now meaning unknown."""
+    return v
+
+
 def fully_specified(masks: DataFrame, n: int) -> DataFrame:
     return masks.filter(F.bit_count("fixed_mask") == n)
 
@@ -105,15 +187,28 @@ def subtract(masks: DataFrame, other: DataFrame, n: int) -> DataFrame:
     return enumerate_configurations(masks, n).select("state").distinct().join(enumerate_configurations(other, n).select("state").distinct(), "state", "left_anti")
 
 
+#: Cubes whose sizes are summed together when draws are placed.
+DEALT = 1024
+
+
 def sample(masks: DataFrame, n: int, size: int, seed: int = 0) -> DataFrame:
     """(draw, state): uniform draws with replacement: a draw's number falls into a cube by cumulated sizes, and its
-    offset fills the cube's free bits."""
+    offset fills the cube's free bits.
+
+    Sizes are summed inside groups of cubes and then over the groups. Draws and cubes meet by stretches of the line of
+    all states, of which a cube touches as many as its share asks for."""
     sized = masks.withColumn("_n", F.expr(f"shiftleft(1L, {n} - bit_count(fixed_mask))"))
-    order = Window.orderBy("fixed_mask", "value_mask", "cube")
-    placed = sized.withColumn("_hi", F.sum("_n").over(order)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    total = sized.agg(F.sum("_n").alias("_t"))
-    draws = masks.sparkSession.range(size).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("_x", F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("_t")))
-    hit = draws.join(F.broadcast(placed), (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi")))
+    whole = sized.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))  # one row
+    sized = sized.crossJoin(F.broadcast(whole)).withColumn("_group", F.pmod(F.xxhash64("fixed_mask", "value_mask", "cube"), F.ceil(F.col("_k") / DEALT)))
+    up = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sized.groupBy("_group").agg(F.sum("_n").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(up([F.lit(0)], ["_group"])), F.lit(0)))
+    own = F.coalesce(F.sum("_n").over(up(["_group"], ["fixed_mask", "value_mask", "cube"])), F.lit(0))
+    placed = sized.withColumn("_own", own).join(bases.select("_group", "_base"), "_group").withColumn("_lo", F.col("_base") + F.col("_own"))
+    width = F.greatest(F.floor(F.col("_t") / F.col("_k")), F.lit(1))
+    placed = placed.withColumn("_at", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_lo") + F.col("_n") - 1) / width))))
+    draws = masks.sparkSession.range(size).withColumnRenamed("id", "draw").crossJoin(F.broadcast(whole)).withColumn("_x", F.pmod(F.xxhash64("draw", F.lit(seed)), F.col("_t")))
+    draws = draws.select("draw", "_x", F.floor(F.col("_x") / width).alias("_at"))
+    hit = draws.join(placed, "_at").filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_lo") + F.col("_n")))
     fill = F.expr(
         f"aggregate(sequence(0, {n - 1}), struct(value_mask AS s, _x - _lo AS r), (a, i) -> CASE WHEN (shiftright(fixed_mask, i) & 1) = 0 THEN struct(a.s | shiftleft(a.r & 1L, i) AS s, shiftright(a.r, 1) AS r) ELSE a END, a -> a.s)"
     )
@@ -135,7 +230,7 @@ def predecessor_votes(pairs: DataFrame, cells: DataFrame, interactions: DataFram
     """(cell1, cell2, forward, backward, inconclusive) for the cell pairs given; cells are (cell, component, value), and
     a component that a cell lacks is inconclusive."""
     v = lambda cell, comp, out: cells.select(F.col("cell").alias(cell), F.col("component").alias(comp), F.col("value").alias(out), F.lit(True).alias(f"_{out}"))
-    each = pairs.crossJoin(F.broadcast(interactions.select("source", "target", "sign")))
+    each = pairs.crossJoin(interactions.select("source", "target", "sign"))
     for cell in ("cell1", "cell2"):
         for comp in ("source", "target"):
             each = each.join(v(cell, comp, f"{comp}_{cell}"), [cell, comp], "left")
@@ -158,7 +253,7 @@ def drop_components(cubes: DataFrame, components: list[str]) -> DataFrame:
 
 def relabel_components(cubes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Components renamed by (old, new); two of a cube that would become one are an error."""
-    out = cubes.join(F.broadcast(mapping.select(F.col("old").alias("component"), "new")), "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
+    out = cubes.join(mapping.select(F.col("old").alias("component"), "new"), "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
     size = F.count("*").over(Window.partitionBy("cube", "component"))
     return out.withColumn("_n", size).withColumn("component", F.when(F.col("_n") == 1, F.col("component")).otherwise(F.raise_error(F.lit("relabelling merges components")))).drop("_n")
 

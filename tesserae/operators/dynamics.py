@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as r
 from ..functions.lineage import settled
+from .boolean import _outranked
 from .graphs import strong_components
 
+#: Tables of all states; larger networks go through `symbolic`, which has no such bound.
 MAX_COMPONENTS = 24
+#: Rounds kept apart before they are written together.
+MOST_FRONTS = 32
 UPDATES = ("synchronous", "asynchronous", "general")
 
 
@@ -97,32 +102,47 @@ def post(states: DataFrame, network: Network, update: str = "asynchronous") -> D
     return successors(states, network, update).select(F.col("next").alias("state")).distinct()
 
 
+def predecessors(states: DataFrame, network: Network, update: str = "asynchronous") -> DataFrame:
+    """States with a successor in the set. Asynchronously a state has one candidate for each component, which is tried;
+    other updates go through the steps of all states."""
+    if update != "asynchronous":
+        edges = successors(all_states(states.sparkSession, network), network, update)
+        return edges.join(states.select(F.col("state").alias("next")), "next", "left_semi").select("state").distinct()
+    flips = F.expr(f"transform(sequence(0, {network.n - 1}), i -> shiftleft(1L, i))")
+    tried = states.select(F.explode(flips).alias("_m"), F.col("state").alias("_to")).select(F.col("_to").bitwiseXOR(F.col("_m")).alias("state"), "_m", "_to")
+    moved = network.image(F.col("state")).bitwiseXOR(F.col("state")).bitwiseAND(F.col("_m")) != 0
+    return tried.filter(moved).select("state").distinct()
+
+
 def pre(states: DataFrame, network: Network, update: str = "asynchronous") -> DataFrame:
     """States with a successor in the set."""
-    edges = successors(all_states(states.sparkSession, network), network, update)
-    return edges.join(states.select(F.col("state").alias("next")), "next", "left_semi").select("state").distinct()
+    return predecessors(states, network, update)
 
 
-def reachable(start: DataFrame, network: Network, update: str = "general", within: DataFrame | None = None) -> DataFrame:
-    """States reached from the start set, which is included: each round expands only what is new."""
+def _closure(start: DataFrame, step, within: DataFrame | None) -> DataFrame:
+    """The start set and what `step` leads to, round by round: only what is new is expanded, and each round is written
+    once; what has been seen is the rounds side by side."""
     keep = (lambda d: d) if within is None else (lambda d: d.join(within.select("state"), "state", "left_semi"))
-    seen = front = settled(keep(start.select("state").distinct()))
-    while not front.isEmpty():
-        front = settled(keep(post(front, network, update)).join(seen, "state", "left_anti"))
-        seen = settled(seen.union(front))
-    return seen
+    fronts = [settled(keep(start.select("state").distinct()))]
+    while not fronts[-1].isEmpty():
+        seen = reduce(DataFrame.union, fronts)
+        fronts.append(settled(keep(step(fronts[-1])).join(seen, "state", "left_anti")))
+        if len(fronts) > MOST_FRONTS:
+            fronts = [settled(reduce(DataFrame.union, fronts[:-1])), fronts[-1]]
+    return reduce(DataFrame.union, fronts)
+
+
+def reachable(start: DataFrame, network: Network, update: str = "general", within: DataFrame | None = None) -> DataFrame:
+    """States reached from the start set, which is included."""
+    return _closure(start, lambda front: post(front, network, update), within)
 
 
 def coreachable(goal: DataFrame, network: Network, update: str = "general", within: DataFrame | None = None) -> DataFrame:
     """States from which the goal set is reached, the set included."""
-    keep = (lambda d: d) if within is None else (lambda d: d.join(within.select("state"), "state", "left_semi"))
+    if update == "asynchronous":
+        return _closure(goal, lambda front: predecessors(front, network, update), within)
     edges = settled(successors(all_states(goal.sparkSession, network), network, update))
-    seen = front = settled(keep(goal.select("state").distinct()))
-    while not front.isEmpty():
-        back = edges.join(front.select(F.col("state").alias("next")), "next", "left_semi").select("state").distinct()
-        front = settled(keep(back).join(seen, "state", "left_anti"))
-        seen = settled(seen.union(front))
-    return seen
+    return _closure(goal, lambda front: edges.join(front.select(F.col("state").alias("next")), "next", "left_semi").select("state").distinct(), within)
 
 
 def terminal_components(states: DataFrame, network: Network, update: str = "general") -> DataFrame:
@@ -200,9 +220,7 @@ def minimal_trap_spaces(spark: SparkSession, network: Network) -> DataFrame:
     stay. They are the attractors of most-permissive dynamics."""
     points = all_states(spark, network).select(F.lit((1 << network.n) - 1).cast("long").alias("fixed_mask"), F.col("state").alias("value_mask"))
     closed = settled(trap_closure(points, network).select(F.col("closed_fixed").alias("fixed_mask"), F.col("closed_value").alias("value_mask")).distinct())
-    other = closed.select(F.col("fixed_mask").alias("f"), F.col("value_mask").alias("v"))
-    inside = (F.col("f") != F.col("fixed_mask")) & (F.col("f").bitwiseAND(F.col("fixed_mask")) == F.col("fixed_mask")) & (F.col("v").bitwiseAND(F.col("fixed_mask")) == F.col("value_mask"))
-    return closed.join(other, inside, "left_anti")
+    return closed.join(_outranked(closed, "minimal"), ["fixed_mask", "value_mask"], "left_anti")
 
 
 def most_permissive_reachable(spark: SparkSession, network: Network, start: int) -> DataFrame:
@@ -307,8 +325,9 @@ class ExecutableModel:
     """A network with named initial conditions (component -> value, absent: free) and perturbations (component -> value
     that replaces its rule)."""
 
-    def __init__(self, network: Network, initial: dict[str, dict[str, bool]] | None = None, perturbations: dict[str, bool] | None = None):
+    def __init__(self, network: Network, initial: dict[str, dict[str, bool]] | None = None, perturbations: dict[str, bool] | None = None, parameters: dict | None = None, metadata: dict | None = None):
         self.initial, self.perturbations = dict(initial or {}), dict(perturbations or {})
+        self.parameters, self.metadata = dict(parameters or {}), dict(metadata or {})
         if unknown := ({c for v in self.initial.values() for c in v} | set(self.perturbations)) - set(network.components):
             raise ValueError(f"no components {sorted(unknown)}")
         self.network = Network({c: ("const", self.perturbations[c]) if c in self.perturbations else t for c, t in network.rules.items()})
@@ -319,12 +338,73 @@ class ExecutableModel:
         fixed, value = sum(1 << order[c] for c in given), sum(1 << order[c] for c, v in given.items() if v)
         return all_states(spark, self.network).filter(F.col("state").bitwiseAND(F.lit(fixed)) == value)
 
+    def condition(self, spark: SparkSession, given: str | dict[str, bool]) -> DataFrame:
+        """States of a named condition, or of one given as component -> value."""
+        if isinstance(given, str):
+            return self.states(spark, given)
+        order = self.network.order
+        fixed, value = sum(1 << order[c] for c, v in given.items() if v is not None), sum(1 << order[c] for c, v in given.items() if v)
+        return all_states(spark, self.network).filter(F.col("state").bitwiseAND(F.lit(fixed)) == value)
+
     def reachable(self, spark: SparkSession, name: str, update: str = "general") -> DataFrame:
         return reachable(self.states(spark, name), self.network, update)
 
     def attractors(self, spark: SparkSession, name: str, update: str = "general") -> DataFrame:
         return attractors(self.states(spark, name), self.network, update)
 
+    def transition(self, spark: SparkSession, source: str | dict[str, bool], target: str | dict[str, bool], update: str = "general", quantifier: str = "robust") -> bool:
+        """Whether one step leads from the source condition to the target: `exists`, `robust` or `universal`."""
+        return self._asked(transition, spark, source, target, update, quantifier)
+
+    def reachability(self, spark: SparkSession, source: str | dict[str, bool], target: str | dict[str, bool], update: str = "general", quantifier: str = "robust") -> bool:
+        """The same by any number of steps."""
+        return self._asked(reachability, spark, source, target, update, quantifier)
+
+    def _asked(self, test, spark, source, target, update, quantifier) -> bool:
+        column = {"exists": "exists_", "robust": "robust", "universal": "universal"}[quantifier]
+        return bool(test(self.condition(spark, source), self.condition(spark, target), self.network, update).first()[column])
+
+
+class Ensemble:
+    """Networks over one set of components, as a list that keeps that so."""
+
+    def __init__(self, networks: list[Network] = (), components: list[str] | None = None):
+        networks = list(networks)
+        if components is None and not networks:
+            raise ValueError("an empty ensemble needs its components")
+        self.components = list(components or networks[0].components)
+        self.networks = [self._fits(n) for n in networks]
+
+    def _fits(self, network: Network | dict[str, str]) -> Network:
+        network = network if isinstance(network, Network) else Network({c: str(t) for c, t in network.items()})
+        if set(network.components) != set(self.components):
+            raise ValueError("networks of one ensemble have the same components")
+        return network
+
+    def __len__(self) -> int:
+        return len(self.networks)
+
+    def __iter__(self):
+        return iter(self.networks)
+
+    def __getitem__(self, at):
+        return self.networks[at]
+
+    def __setitem__(self, at, value) -> None:
+        self.networks[at] = [self._fits(n) for n in value] if isinstance(at, slice) else self._fits(value)
+
+    def __delitem__(self, at) -> None:
+        del self.networks[at]
+
+    def insert(self, at: int, value: Network | dict[str, str]) -> None:
+        self.networks.insert(at, self._fits(value))
+
+    def append(self, value: Network | dict[str, str]) -> None:
+        self.insert(len(self), value)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return ensemble_frame(spark, self.networks)
+
 
 def ensemble_nodes(spark: SparkSession, networks: list[Network]) -> DataFrame:
     """(component, function_count, stability): distinct implicant structures of a component's rules over the networks,
