@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import log2_or_inf, normal_two_sided, ratio
+from ..functions.columns import log2_or_inf, log_factorial, normal_two_sided, ratio
+
+#: Terms of a hypergeometric tail in one range.
+TAIL = 10_000
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str], out: str = "adjusted") -> DataFrame:
@@ -167,26 +170,26 @@ def ora(query: DataFrame, signatures: DataFrame, background: DataFrame) -> DataF
     """(signature, overlap, size, expected, fold, p): over-representation of `query` (item) in `signatures`
     (signature, item) within `background` (item), by the upper tail of the hypergeometric law.
 
-    Logarithms of factorials are one running sum over the background's size."""
+    Logarithms of factorials are a series in the expression. A signature's tail is summed by ranges of TAIL terms in
+    tasks of their own, so nothing grows with the background but the sets themselves."""
     bg = background.select("item").distinct()
     q = query.select("item").distinct().join(bg, "item", "left_semi")
     s = signatures.select("signature", "item").distinct().join(bg, "item", "left_semi")
     counts = s.join(q.withColumn("_hit", F.lit(1)), "item", "left").groupBy("signature").agg(F.count("*").alias("size"), F.count("_hit").alias("overlap"))
     n, big = q.agg(F.count("*").alias("n")), bg.agg(F.count("*").alias("m"))
-    sized = counts.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(big))
-    steps = big.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("i"))
-    logs = steps.select("i", F.sum(F.when(F.col("i") > 0, F.ln(F.col("i").cast("double"))).otherwise(0.0)).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("lf"))
-    table = logs.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "lf"))), lambda x: x["lf"]).alias("lf"))  # as long as the background's vocabulary
-    f = lambda i: F.get(F.col("lf"), i.cast("int"))
-    choose = lambda a, b: f(a) - f(b) - f(a - b)
+    sized = counts.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(big))  # one row each
     m, k1, nn = F.col("m"), F.col("size"), F.col("n")
-    term = lambda i: F.exp(choose(k1, i) + choose(m - k1, nn - i) - choose(m, nn))
-    low = F.greatest(F.col("overlap"), nn + k1 - m, F.lit(0).cast("long"))
-    high = F.least(k1, nn)
-    tail = F.when(low <= high, F.aggregate(F.sequence(low, high), F.lit(0.0), lambda a, i: a + term(i))).otherwise(0.0)
-    p = F.when(F.col("overlap") <= F.greatest(nn + k1 - m, F.lit(0).cast("long")), 1.0).otherwise(F.least(tail, F.lit(1.0)))
+    low, high = F.greatest(F.col("overlap"), nn + k1 - m, F.lit(0).cast("long")), F.least(k1, nn)
+    ranges = sized.withColumn("_low", low).filter(F.col("_low") <= high).withColumn("_from", F.explode(F.sequence(F.col("_low"), high, F.lit(TAIL).cast("long"))))
+    f = lambda i: log_factorial(i.cast("double"))
+    choose = lambda a, b: f(a) - f(b) - f(a - b)
+    term = lambda i: F.exp(choose(k1, i) + choose(m - k1, nn - i) - F.col("_all"))
+    each = ranges.withColumn("_all", choose(m, nn)).withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(high, F.col("_from") + TAIL - 1))))
+    tails = each.groupBy("signature").agg(F.sum(term(F.col("_i"))).alias("_tail"))
+    p = F.when(F.col("overlap") <= F.greatest(nn + k1 - m, F.lit(0).cast("long")), 1.0).otherwise(F.least(F.coalesce("_tail", F.lit(0.0)), F.lit(1.0)))
     expected = nn * k1 / m
-    return sized.crossJoin(F.broadcast(table)).select("signature", "overlap", "size", expected.alias("expected"), ratio(F.col("overlap"), expected).alias("fold"), p.alias("p"))
+    out = sized.join(tails, "signature", "left")
+    return out.select("signature", "overlap", "size", expected.alias("expected"), ratio(F.col("overlap"), expected).alias("fold"), p.alias("p"))
 
 
 def smirnov(values: DataFrame, gene: str, value: str, side: str) -> DataFrame:
@@ -201,10 +204,106 @@ def smirnov(values: DataFrame, gene: str, value: str, side: str) -> DataFrame:
     return best.select(gene, F.abs("at.gap").alias("statistic"), F.col(f"at.{value}").alias("location"), F.sign("at.gap").cast("int").alias("sign"))
 
 
+def _path_tail(n1: int, n2: int, gap: int, two_sided: bool) -> float:
+    """Chance that a random order of n1 and n2 cells, as a path from (0, 0) to (n1, n2), somewhere has n2 x - n1 y (in
+    absolute value, if two-sided) of `gap` or more. The chances of all points x + y = t are carried along; what comes to
+    a point beyond adds up and goes no further, so small tails keep their digits."""
+    if gap <= 0:
+        return 1.0
+    out, at = 0.0, np.zeros(n1 + 2)
+    at[0] = 1.0
+    x = np.arange(n1 + 1)
+    for t in range(n1 + n2):
+        y = t - x
+        right = at[:-1] * np.clip(n1 - x, 0, None) / (n1 + n2 - t)
+        up = at[:-1] * np.clip(n2 - y, 0, None) / (n1 + n2 - t)
+        at[:-1] = up
+        at[1:] += right
+        at[-1] = 0.0
+        here = n2 * x - n1 * (y + 1)
+        beyond = (here >= gap) | (here <= -gap) if two_sided else here >= gap
+        out += float(at[:-1][beyond].sum())
+        at[:-1][beyond] = 0.0
+    return min(out, 1.0)
+
+
+#: Groups of up to so many cells get exact tails, larger ones the limit law (as common statistics packages do).
+EXACT_CELLS = 10_000
+
+
+def smirnov_p(n1: int, n2: int, statistic: float, alternative: str = "two-sided") -> float:
+    """Tail of the two-sample Kolmogorov-Smirnov statistic."""
+    two = alternative == "two-sided"
+    if max(n1, n2) <= EXACT_CELLS:
+        return _path_tail(n1, n2, round(statistic * n1 * n2), two)
+    mean = n1 * n2 / (n1 + n2)
+    z = np.sqrt(mean) * statistic
+    if not two:
+        big, small = max(n1, n2), min(n1, n2)
+        return float(np.exp(-2 * z * z - 2 * z * (big + 2 * small) / np.sqrt(big * small * (big + small)) / 3))
+    z += 1 / (6 * np.sqrt(mean))  # the limit law's first correction
+    if z < 0.3:
+        return 1.0
+    k = np.arange(1, 101)
+    return float(np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * k * k * z * z)).sum(), 0, 1))
+
+
+def smirnov_tests(x: DataFrame, obs: DataFrame, group: str, var: DataFrame, reference: str = "rest", alternative: str = "two-sided", groups: list[str] | None = None, correction: str = "benjamini-hochberg") -> DataFrame:
+    """(gene, grp, statistic, location, sign, p, adjusted): each group's distribution against the rest's, or against that
+    of the `reference` group, implicit zeros included. sign 1: the group's distribution function is ahead (its values
+    are smaller); `greater` and `less` look at one sign alone. Adjusted within a group.
+
+    What is shuffled are counts of distinct values; a gene's grid is its distinct values by the groups."""
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError("alternative: two-sided, greater or less")
+    labels = obs.select("cell", F.col(group).alias("grp"))
+    sizes = labels.groupBy("grp").agg(F.count("*").alias("n"))  # one row a group
+    counts = x.join(labels, "cell").filter("value <> 0").groupBy("gene", "grp", "value").agg(F.count("*").alias("c"))
+    found = counts.groupBy("gene", "grp").agg(F.sum("c").alias("_c"))
+    zeros = var.select("gene").crossJoin(F.broadcast(sizes)).join(found, ["gene", "grp"], "left").select("gene", "grp", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("_c", F.lit(0))).alias("c"))
+    counts = counts.unionByName(zeros)
+    tested = sizes.filter("grp is not null")
+    if groups is not None:
+        tested = tested.filter(F.col("grp").isin(*groups))
+    tested = tested.select("grp", F.col("n").alias("n1"))
+    if reference == "rest":
+        other = counts.groupBy("gene", "value").agg(F.sum("c").alias("all"))
+        n2 = F.col("_n") - F.col("n1")
+        tested = tested.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("_n")))).select("grp", "n1", n2.alias("n2"))
+    else:
+        other = counts.filter(F.col("grp") == reference).groupBy("gene", "value").agg(F.sum("c").alias("all"))
+        own = sizes.filter(F.col("grp") == reference).select(F.col("n").alias("n2"))
+        tested = tested.filter(F.col("grp") != reference).crossJoin(F.broadcast(own))
+    grid = counts.select("gene", "value").distinct().crossJoin(F.broadcast(tested))
+    grid = grid.join(counts, ["gene", "grp", "value"], "left").join(other, ["gene", "value"], "left").fillna(0, ["c", "all"])
+    before = Window.partitionBy("gene", "grp").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside, outside = F.sum("c").over(before), F.sum(F.col("all") - F.col("c") if reference == "rest" else F.col("all")).over(before)
+    # whole numbers over n1 x n2, so that equal gaps are equal
+    gaps = grid.withColumn("_g", inside * F.col("n2") - outside * F.col("n1"))
+    top = gaps.groupBy("gene", "grp", "n1", "n2").agg(F.max("_g").alias("up"), F.min_by("value", F.struct(-F.col("_g"), F.col("value"))).alias("at_up"), F.min("_g").alias("down"), F.min_by("value", F.struct(F.col("_g"), F.col("value"))).alias("at_down"))
+    ahead = {"two-sided": F.col("up") >= -F.col("down"), "greater": F.lit(True), "less": F.lit(False)}[alternative]
+    best = top.filter("n1 > 0 and n2 > 0").select(
+        "gene", "grp", "n1", "n2", (F.greatest(F.when(ahead, F.col("up")).otherwise(-F.col("down")), F.lit(0)) / (F.col("n1") * F.col("n2"))).alias("statistic"),
+        F.when(ahead, F.col("at_up")).otherwise(F.col("at_down")).alias("location"), F.when(ahead, 1).otherwise(-1).alias("sign"),
+    )
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [smirnov_p(n1, n2, d, alternative) for n1, n2, d in zip(b["n1"].to_pylist(), b["n2"].to_pylist(), b["statistic"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "p"])
+
+    out = best.mapInArrow(tails, ", ".join(f"{c} {t}" for c, t in best.dtypes) + ", p double").drop("n1", "n2")
+    if correction == "benjamini-hochberg":
+        return bh_adjust(out, "p", ["grp"])
+    if correction == "bonferroni":
+        return bonferroni_adjust(out, "p", ["grp"])
+    raise ValueError("correction: benjamini-hochberg or bonferroni")
+
+
 def regress_out(values: DataFrame, gene: str, value: str, key: str, intercept: bool = False) -> DataFrame:
     """Residuals of `value` on one key (with an intercept) per gene; intercept: its coefficient is added back."""
     fit = values.groupBy(gene).agg(F.regr_slope(value, key).alias("_b"), F.regr_intercept(value, key).alias("_a"), F.avg(value).alias("_m"))
-    joined = values.join(F.broadcast(fit), gene)
+    joined = values.join(fit, gene)
     slope = F.coalesce("_b", F.lit(0.0))
     base = F.coalesce("_a", "_m")
     residual = F.col(value) - slope * F.col(key) - (F.lit(0.0) if intercept else base)
@@ -232,4 +331,4 @@ def regress_out_keys(values: DataFrame, gene: str, value: str, keys: list[str])
     kind = dict(values.dtypes)[gene]
     fit = moments.mapInArrow(solve, f"{gene} {kind}, _beta array<double>")
     fitted = sum((F.col("_beta")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
-    return values.join(F.broadcast(fit), gene).withColumn("residual", F.col(value) - fitted).drop("_beta")
+    return values.join(fit, gene).withColumn("residual", F.col(value) - fitted).drop("_beta")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
 from ..functions.lineage import settled
@@ -320,12 +319,6 @@ def aggregated_collapse(aggregated: DataFrame, families: DataFrame) -> DataFrame
     return out.groupBy("source", "target", "sign").agg(F.avg("frequency").alias("mean"), F.min("frequency").alias("low"), F.max("frequency").alias("high"))
 
 
-def strongest(edges: DataFrame, weight: str, k: int, by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """The k edges of greatest weight out of each node; ties by target and sign."""
-    order = Window.partitionBy(*by).orderBy(F.desc(weight), "target", "sign")
-    return edges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
-
-
 def dot_rows(edges: DataFrame) -> DataFrame:
     """(line) of a DOT drawing: one edge a line, negative ones with a flat head."""
     head = F.when(F.col("sign") == -1, "tee").otherwise("normal")
@@ -346,3 +339,34 @@ def validated_counts(aggregated: DataFrame) -> DataFrame:
 def frequency_style(frequency: Column) -> Column:
     """Line style of an edge by its frequency."""
     return F.when(frequency < 0.25, "dotted").when(frequency < 0.5, "dashed").when(frequency < 0.75, "solid").otherwise("bold")
+
+
+def update_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges with those of `new`, which take the place of equal signed edges."""
+    keys = ["source", "target", "sign"]
+    return edges.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def weighted_edges(rows: DataFrame, weight: str = "weight") -> DataFrame:
+    """Signed edges of (source, target, weight): a weight above 0 is positive, below negative, and stays as a column."""
+    sign = F.when(F.col(weight) > 0, 1).when(F.col(weight) < 0, -1)
+    return rows.withColumn("sign", sign).filter(F.col("sign").isNotNull()).select("source", "target", "sign", *[c for c in rows.columns if c not in ("source", "target", "sign")])
+
+
+def to_directed(edges: DataFrame) -> DataFrame:
+    """(source, target, sign) as a table of its own, each signed edge once."""
+    return edges.select("source", "target", "sign").distinct()
+
+
+def to_undirected(edges: DataFrame) -> DataFrame:
+    """(source, target, sign) with the lesser node first: both directions of a signed edge are one."""
+    return edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "sign").distinct()
+
+
+def update_aggregated(aggregated: DataFrame, new: DataFrame) -> DataFrame:
+    """Aggregated graphs (source, target, sign, count, total) of two sets of graphs together."""
+    totals = [d.agg(F.coalesce(F.max("total"), F.lit(0)).alias(f"_t{k}")) for k, d in enumerate((aggregated, new))]  # one row each
+    both = aggregated.select("source", "target", "sign", "count").union(new.select("source", "target", "sign", "count"))
+    summed = both.groupBy("source", "target", "sign").agg(F.sum("count").alias("count")).crossJoin(F.broadcast(totals[0])).crossJoin(F.broadcast(totals[1]))
+    total = F.col("_t0") + F.col("_t1")
+    return summed.select("source", "target", "sign", "count", total.alias("total"), (F.col("count") / total).alias("frequency"))

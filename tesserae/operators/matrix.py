@@ -67,7 +67,7 @@ def qc_obs(x: DataFrame, obs: DataFrame, top: tuple[int, ...] = (), flags: dict[
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("value"), "gene"))
     each = x.withColumn("_rank", rank) if top else x
     for name, genes in (flags or {}).items():
-        each = each.join(F.broadcast(genes.select("gene").withColumn(f"_{name}", F.lit(True))), "gene", "left")
+        each = each.join(genes.select("gene").withColumn(f"_{name}", F.lit(True)), "gene", "left")
     aggs = [F.count_if(F.col("value") > 0).alias("n_features"), F.sum("value").alias("total")]
     aggs += [F.sum(F.when(F.col("_rank") <= k, F.col("value"))).alias(f"_top{k}") for k in top]
     aggs += [F.sum(F.when(F.col(f"_{f}"), F.col("value")).otherwise(0.0)).alias(f"total_{f}") for f in flags or {}]
@@ -81,19 +81,20 @@ def qc_obs(x: DataFrame, obs: DataFrame, top: tuple[int, ...] = (), flags: dict[
 
 
 def _order_statistic(values: DataFrame, value: str, zero: Column) -> DataFrame:
-    """(gene, median) of `value` and of `n_obs` - `nnz` copies of `zero` per gene."""
-    rn = F.row_number().over(Window.partitionBy("gene").orderBy(value))
-    position = rn + F.when(F.col(value) > zero, F.col("n_obs") - F.col("nnz")).otherwise(0)
-    lo, hi = F.floor((F.col("n_obs") + 1) / 2), F.floor(F.col("n_obs") / 2) + 1
-    at = values.withColumn("_p", position).withColumn("_zero", zero)
-    pick = lambda p: F.coalesce(F.max(F.when(F.col("_p") == p, F.col(value))), F.max("_zero"))
-    return at.groupBy("gene").agg(((pick(lo) + pick(hi)) / 2).alias("median"))
+    """(gene, median) of `value` and of the `n_obs` - stored copies of `zero` per gene (n_obs and what `zero` reads are
+    the same for all rows of a gene). Distinct values are counted and their counts summed up by cuts of the gene's
+    range, so a gene may hold any share of the rows."""
+    counts = values.withColumn("_zero", zero).groupBy("gene", value).agg(F.count("*").alias("_c"), F.first("n_obs").alias("n_obs"), F.first("_zero").alias("_zero"))
+    run = running_sum(counts, "gene", value, "_c", "_run")
+    top = F.col("_run") + F.when(F.col(value) > F.col("_zero"), F.col("n_obs") - F.col("_run_all")).otherwise(0)
+    at = run.withColumn("_hi", top).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    pick = lambda p: F.coalesce(F.max(F.when((F.col("_lo") < p) & (p <= F.col("_hi")), F.col(value))), F.max("_zero"))
+    return at.groupBy("gene").agg(((pick(F.floor((F.col("n_obs") + 1) / 2)) + pick(F.floor(F.col("n_obs") / 2) + 1)) / 2).alias("median"))
 
 
 def sparse_median_mad(x: DataFrame, obs: DataFrame) -> DataFrame:
     """(gene, median, mad) over all cells, implicit zeros included; mad is the raw median absolute deviation."""
-    nnz = F.count("*").over(Window.partitionBy("gene"))
-    stored = with_size(x.withColumn("nnz", nnz), obs)
+    stored = with_size(x, obs)
     median = _order_statistic(stored, "value", F.lit(0.0))
     away = stored.join(median, "gene").withColumn("away", F.abs(F.col("value") - F.col("median")))
     mad = _order_statistic(away, "away", F.abs("median")).withColumnRenamed("median", "mad")
@@ -139,32 +140,57 @@ def hvg_cutoff(scored: DataFrame, mean: tuple[float, float] = (0.0125, 3.0), sco
     return scored.filter((F.col("mean") > mean[0]) & (F.col("mean") < mean[1]) & (F.col("score") > score[0]) & (F.col("score") < score[1]))
 
 
-def hvg_batches(x: DataFrame, obs: DataFrame, batch: str, n: int, by: str = "rank") -> DataFrame:
-    """Binning scores per batch (two cells at least), merged: (gene, n_batches, rank, score), best first.
-
-    n_batches: batches whose top n hold the gene; rank: median of its ranks there; score: mean by cells. by `rank`:
-    (rank, -n_batches, -score), by `consensus`: (-n_batches, -score). Cells without a batch are left out."""
-    sized = obs.filter(F.col(batch).isNotNull()).withColumn("n_obs", F.count("*").over(Window.partitionBy(batch))).filter("n_obs >= 2")
-    cells = sized.select("cell", F.col(batch).alias("batch"))
-    sums = x.join(cells, "cell").groupBy("batch", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    sums = sums.join(F.broadcast(sized.groupBy(F.col(batch).alias("batch")).agg(F.count("*").alias("n_obs"))), "batch")
+def batch_moments(x: DataFrame, obs: DataFrame, batch: str) -> DataFrame:
+    """(batch, gene, n_obs, mean, variance) of batches of two cells at least; cells without a batch are left out."""
+    cells = obs.filter(F.col(batch).isNotNull()).select("cell", F.col(batch).alias("batch"))
+    sizes = cells.groupBy("batch").agg(F.count("*").alias("n_obs")).filter("n_obs >= 2")
+    sums = x.join(cells, "cell").groupBy("batch", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(sizes, "batch")
     size = F.col("n_obs")
     mean = F.col("s") / size
-    m = sums.select("batch", "gene", "n_obs", mean.alias("mean"), (F.greatest(F.col("q") / size - mean * mean, F.lit(0.0)) * size / (size - 1)).alias("variance"))
-    m = m.withColumn("dispersion", ratio(F.col("variance"), F.col("mean")))
+    return sums.select("batch", "gene", "n_obs", mean.alias("mean"), (F.greatest(F.col("q") / size - mean * mean, F.lit(0.0)) * size / (size - 1)).alias("variance"))
+
+
+def batch_binning(x: DataFrame, obs: DataFrame, batch: str) -> DataFrame:
+    """(batch, gene, n_obs, mean, score): binning scores inside each batch."""
+    m = batch_moments(x, obs, batch).withColumn("dispersion", ratio(F.col("variance"), F.col("mean")))
     steps = F.array(*[F.lit(k / 100) for k in range(10, 101, 5)])
     edges = m.filter("mean > 0").groupBy("batch").agg(F.sort_array(F.array_distinct(F.percentile("mean", steps))).alias("edges"))
-    binned = m.join(F.broadcast(edges), "batch").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("mean"))) - 1)
+    binned = m.join(edges, "batch").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("mean"))) - 1)
     centre = binned.groupBy("batch", "bin").agg(F.median("dispersion").alias("centre"))
-    binned = binned.join(F.broadcast(centre), ["batch", "bin"])
+    binned = binned.join(centre, ["batch", "bin"])
     spread = binned.groupBy("batch", "bin").agg(F.median(F.abs(F.col("dispersion") - F.col("centre"))).alias("spread"))
-    scored = binned.join(F.broadcast(spread), ["batch", "bin"]).withColumn("score", ratio(F.col("dispersion") - F.col("centre"), F.col("spread") / 0.67449))
-    rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc_nulls_last("score"), "gene"))
-    ranked = scored.withColumn("r", rank).withColumn("r", F.when((F.col("r") <= n) & F.col("score").isNotNull(), F.col("r")))
-    weight = F.when(F.col("score").isNotNull(), F.col("n_obs"))
-    out = ranked.groupBy("gene").agg(F.count("r").alias("n_batches"), F.median("r").alias("rank"), ratio(F.sum(F.col("score") * F.col("n_obs")), F.sum(weight)).alias("score"))
-    keys = [F.asc_nulls_last("rank"), F.desc("n_batches"), F.desc_nulls_last("score")] if by == "rank" else [F.desc("n_batches"), F.desc_nulls_last("score")]
-    return out.orderBy(*keys, "gene")
+    score = ratio(F.col("dispersion") - F.col("centre"), F.col("spread") / 0.67449)
+    return binned.join(spread, ["batch", "bin"]).select("batch", "gene", "n_obs", "mean", score.alias("score"))
+
+
+def _weighted_median(pairs: Column) -> Column:
+    """The first value, of a sorted array of (value, weight), up to which half of the weight lies."""
+    half = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"]) / 2
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+    step = lambda a, p: F.struct((a["sum"] + p["w"]).alias("sum"), F.when(a["at"].isNull() & (a["sum"] + p["w"] >= half), p["r"]).otherwise(a["at"]).alias("at"))
+    return F.aggregate(pairs, start, step, lambda a: a["at"])
+
+
+def hvg_batches(scored: DataFrame, n: int, by: str = "consensus", weighting: str = "equal", method: str = "binning") -> DataFrame:
+    """Scores of batches (batch, gene, n_obs, mean, score) merged: (gene, n_batches, rank, score), best first.
+
+    n_batches: batches whose top n hold the gene; rank: median of its ranks there; score: mean. `equal`: batches count
+    alike; `cell_count`: by cells, also in the median, which is then the first rank that reaches half of the weight. By
+    `rank`: (rank, -n_batches, -score); by `consensus`: (-n_batches, -score), for `loess` (-n_batches, rank, -score)."""
+    if weighting not in ("equal", "cell_count"):
+        raise ValueError("weighting: equal or cell_count")
+    weight = F.lit(1.0) if weighting == "equal" else F.col("n_obs").cast("double")
+    # sums in another order differ in the last digits: equal scores stay equal
+    scored = scored.withColumn("score", F.round("score", 9)).withColumn("_w", weight)
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc_nulls_last("score"), "gene"))
+    ranked = scored.withColumn("r", place).withColumn("r", F.when((F.col("r") <= n) & F.col("score").isNotNull(), F.col("r")))
+    mean = ratio(F.sum(F.col("score") * F.col("_w")), F.sum(F.when(F.col("score").isNotNull(), F.col("_w"))))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct(F.col("r").cast("double").alias("r"), F.col("_w").alias("w")))))  # one a batch
+    rank = F.median("r") if weighting == "equal" else _weighted_median(pairs)
+    out = ranked.groupBy("gene").agg(F.count("r").alias("n_batches"), rank.alias("rank"), mean.alias("score"))
+    keys = {"rank": ["rank", "n_batches", "score"], "consensus": ["n_batches", "rank", "score"] if method == "loess" else ["n_batches", "score"]}[by]
+    order = {"rank": F.asc_nulls_last("rank"), "n_batches": F.desc("n_batches"), "score": F.desc_nulls_last("score")}
+    return out.orderBy(*[order[k] for k in keys], "gene")
 
 
 def merge_duplicate_vars(x: DataFrame, var: DataFrame, columns: list[str], keep: str = "first") -> tuple[DataFrame, DataFrame]:
@@ -246,7 +272,7 @@ def running_sum(counts: DataFrame, by: str, order: str, amount: str, out: str, b
     inside the cuts and the cuts' own totals (a few hundred rows a group) are added."""
     steps = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     edges = counts.groupBy(by).agg(F.percentile_approx(order, steps, F.lit(1000)).alias("_edges"))
-    cut = counts.join(F.broadcast(edges), by).withColumn("_cut", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    cut = counts.join(edges, by).withColumn("_cut", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
     totals = cut.groupBy(by, "_cut").agg(F.sum(amount).alias("_t"))
     group = Window.partitionBy(by)
     before = F.coalesce(F.sum("_t").over(group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -294,16 +320,22 @@ def ribosomal_genes(var: DataFrame, identifiers: DataFrame, name: str = "rps") -
     return flag_genes(var, identifiers, "(?i)^(rps|rpl|mrps|mrpl)", "symbol", name)
 
 
-def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e-12) -> DataFrame:
+def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e-12, batch: str | None = None) -> DataFrame:
     """(gene, mean, variance, expected, score): variance of counts clipped at mean + sqrt(expected * cells), in units of
-    the variance that a local quadratic fit of log10 variance on log10 mean expects.
+    the variance that a local quadratic fit of log10 variance on log10 mean expects. With `batch`, a column of `obs`:
+    (batch, n_obs) too, each batch on its own.
 
-    The fit sees one row a gene with positive mean and variance, in one task; counts are clipped and summed where they
-    lie."""
+    A fit sees one row a gene with positive mean and variance, in one task a batch: genes are a dimension, and the fit's
+    neighbours are wherever the means are. Counts are clipped and summed where they lie."""
     import numpy as np
     import pyarrow as pa
 
-    m = column_moments(x, obs).filter("mean > 0 and variance > 0").select("gene", "n_obs", "mean", "variance")
+    if batch is None:
+        m, keys = column_moments(x, obs).withColumn("batch", F.lit(0)), ["gene"]
+    else:
+        m, keys = batch_moments(x, obs, batch), ["batch", "gene"]
+        x = x.join(obs.select("cell", F.col(batch).alias("batch")), "cell")
+    m = m.filter("mean > 0 and variance > 0").select("batch", "gene", "n_obs", "mean", "variance")
 
     def fit(t):
         a, b = np.log10(t["mean"].to_numpy()), np.log10(t["variance"].to_numpy())
@@ -318,15 +350,16 @@ def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e
                 lo += 1
             d = xs[lo : lo + k] - xs[i]
             w = np.sqrt(np.clip(1 - (np.abs(d) / max(np.abs(d).max(), 1e-12)) ** 3, 0, None) ** 3)
-            basis = np.stack([np.ones(k), d, d * d], axis=1)
-            out[order[i]] = np.linalg.lstsq(basis * w[:, None], ys[lo : lo + k] * w, rcond=None)[0][0]
-        return t.append_column("expected", pa.array(np.maximum(10**out, floor))).drop_columns(["_one"])
+            # the three normal equations of the local parabola, whose value at the point is its first coefficient
+            basis = np.stack([w, w * d, w * d * d])
+            out[order[i]] = np.linalg.lstsq(basis @ basis.T, basis @ (w * ys[lo : lo + k]), rcond=1e-12)[0][0]
+        return t.append_column("expected", pa.array(np.maximum(10**out, floor)))
 
-    kind = dict(x.dtypes)["gene"]
-    trend = m.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(fit, f"gene {kind}, n_obs long, mean double, variance double, expected double")
+    kinds = dict(m.dtypes)
+    trend = m.groupBy("batch").applyInArrow(fit, f"batch {kinds['batch']}, gene {kinds['gene']}, n_obs long, mean double, variance double, expected double")
     top = F.col("mean") + F.sqrt(F.col("expected") * F.col("n_obs"))
-    clipped = x.join(F.broadcast(trend), "gene").withColumn("_v", F.least(F.col("value"), top))
-    sums = clipped.groupBy("gene", "n_obs", "mean", "variance", "expected").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+    clipped = x.join(trend, keys).withColumn("_v", F.least(F.col("value"), top))
+    sums = clipped.groupBy("batch", "gene", "n_obs", "mean", "variance", "expected").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
     n, mean = F.col("n_obs"), F.col("mean")
     score = (n * mean * mean + F.col("_q") - 2 * mean * F.col("_s")) / ((n - 1) * F.col("expected"))
-    return sums.select("gene", "mean", "variance", "expected", score.alias("score"))
+    return sums.select(*(["batch", "n_obs"] if batch else []), "gene", "mean", "variance", "expected", score.alias("score"))

@@ -135,18 +135,21 @@ def dea_binarize(spark, sf):
     return c.dea_binarize(*_tests(spark, sf), alpha=0.8)
 
 
-_SIGS = """bg AS (SELECT DISTINCT p_partkey AS item FROM part), q AS (SELECT DISTINCT l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 30),
-s AS (SELECT DISTINCT p_brand AS signature, p_partkey AS item FROM part)"""
+_SIGS = """w AS (SELECT source AS signature, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+')) AS item FROM documents WHERE source IS NOT NULL),
+s AS (SELECT DISTINCT signature, item FROM w WHERE item <> ''), b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+')) AS item FROM benchmark),
+q AS (SELECT item FROM b WHERE item <> ''), bg AS (SELECT item FROM s UNION SELECT item FROM q)"""
 
 
 @query(f"""WITH {_SIGS}, c AS (SELECT signature, count(*) AS size, count(q.item) AS overlap FROM s LEFT JOIN q USING (item) GROUP BY 1), t AS (SELECT (SELECT count(*) FROM q) AS n, (SELECT count(*) FROM bg) AS m),
 tail AS (SELECT signature, sum(exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(m - size + 1) - lgamma(n - i + 1) - lgamma(m - size - n + i + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1))) AS p
- FROM c, t, unnest(range(0, 100000)) AS g(i) WHERE i BETWEEN overlap AND least(size, n) AND m - size - n + i >= 0 GROUP BY 1)
+ FROM (SELECT *, unnest(range(overlap, least(size, n) + 1)) AS i FROM c, t) WHERE m - size - n + i >= 0 GROUP BY 1)
 SELECT signature, overlap, size, round(n * size / m, 6) AS expected, round(overlap / (n * size / m), 6) AS fold, round(CASE WHEN overlap = 0 THEN 1 ELSE p END, 6) AS p FROM c JOIN tail USING (signature), t""")
 def ora(spark, sf):
-    part = read(spark, sf, "part")
-    line = read(spark, sf, "lineitem").join(read(spark, sf, "orders").filter("o_custkey < 30"), F.col("l_orderkey") == F.col("o_orderkey"))
-    out = c.ora(line.select(F.col("l_partkey").alias("item")), part.select(F.col("p_brand").alias("signature"), F.col("p_partkey").alias("item")), part.select(F.col("p_partkey").alias("item")))
+    """Words of the benchmark among the words of each source of documents."""
+    words = lambda df, *keys: df.select(*keys, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+")).alias("item")).filter("item <> ''").distinct()
+    own = words(read(spark, sf, "documents").filter("source is not null"), F.col("source").alias("signature"))
+    asked = words(read(spark, sf, "benchmark"))
+    out = c.ora(asked, own, own.select("item").union(asked))
     return out.select("signature", "overlap", "size", F.round("expected", 6).alias("expected"), F.round("fold", 6).alias("fold"), F.round("p", 6).alias("p"))
 
 
@@ -173,3 +176,33 @@ SELECT event_id, round(value - my - bu * (u - mu) - bk * (k - mk), 5) AS residua
 def regress_out_two_keys(spark, sf):
     events = read(spark, sf, "events").select("event_id", "event_type", "value", "user_id", (F.col("event_id") % 7).alias("k"))
     return c.regress_out_keys(events, "event_type", "value", ["user_id", "k"]).select("event_id", F.round("residual", 5).alias("residual"))
+
+
+def _smirnov_sql(rest: str, groups: str, pick: str) -> str:
+    return f"""{_DENSE}, va AS (SELECT gene, v, segment AS grp, count(*) AS c FROM d GROUP BY 1, 2, 3), sz AS (SELECT segment AS grp, count(*) AS n FROM obs GROUP BY 1), {groups},
+vg AS (SELECT gene, v, sum(c) AS total, {rest} AS other FROM va GROUP BY 1, 2), gr AS (SELECT vg.gene, vg.v, ts.grp, n1, n2, coalesce(va.c, 0) AS a, other - {{less}} AS b FROM vg CROSS JOIN ts LEFT JOIN va ON va.gene = vg.gene AND va.v = vg.v AND va.grp = ts.grp),
+gp AS (SELECT gene, grp, v, n1, n2, sum(a) OVER w * n2 - sum(b) OVER w * n1 AS g FROM gr WINDOW w AS (PARTITION BY gene, grp ORDER BY v)),
+tp AS (SELECT gene, grp, n1, n2, max(g) AS up, min(g) AS down, arg_min(v, {{{{'a': -g, 'b': v}}}}) AS at_up, arg_min(v, {{{{'a': g, 'b': v}}}}) AS at_down FROM gp GROUP BY 1, 2, 3, 4)
+{pick}"""
+
+
+_REST = _smirnov_sql("sum(c)", "ts AS (SELECT grp, n AS n1, (SELECT sum(n) FROM sz) - n AS n2 FROM sz)", "SELECT gene, grp, round(greatest(up, -down) / (n1 * n2), 9) AS statistic, CASE WHEN up >= -down THEN at_up ELSE at_down END AS location, CASE WHEN up >= -down THEN 1 ELSE -1 END AS sign FROM tp").format(less="coalesce(va.c, 0)")
+_AGAINST = _smirnov_sql("coalesce(sum(c) FILTER (WHERE grp = 'BUILDING'), 0)", "ts AS (SELECT grp, n AS n1, (SELECT n FROM sz WHERE grp = 'BUILDING') AS n2 FROM sz WHERE grp <> 'BUILDING')", "SELECT gene, grp, round(greatest(up, 0) / (n1 * n2), 9) AS statistic, at_up AS location, 1 AS sign FROM tp").format(less="0")
+
+
+@query(_REST)
+def smirnov_rest(spark, sf):
+    x, obs, var = _three(spark, sf)
+    return c.smirnov_tests(x, obs, "segment", var).select("gene", "grp", F.round("statistic", 9).alias("statistic"), "location", "sign")
+
+
+@query(_AGAINST)
+def smirnov_reference_greater(spark, sf):
+    x, obs, var = _three(spark, sf)
+    return c.smirnov_tests(x, obs, "segment", var, "BUILDING", "greater").select("gene", "grp", F.round("statistic", 9).alias("statistic"), "location", "sign")
+
+
+@query()
+def smirnov_pvalues(spark, sf):
+    x, obs, var = _three(spark, sf)
+    return c.smirnov_tests(x, obs, "segment", var).select("gene", "grp", "p", "adjusted")

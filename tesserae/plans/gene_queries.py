@@ -88,13 +88,15 @@ def ortholog_rank(spark, sf):
     return g.ranked_orthologs(_hcop(spark, sf))
 
 
-_HCOP2 = "k0 AS (SELECT p_brand AS source, p_type AS target, count(DISTINCT l_linenumber) AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY p_brand, p_type, p_size), k AS (SELECT * FROM k0 WHERE evidence >= 3)"
+_HCOP2 = "k0 AS (SELECT p_brand AS source, 'S' || CAST(floor(p_size / 11) AS INTEGER) AS target, count(DISTINCT l_linenumber) AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, floor(p_size / 11), p_type), k AS (SELECT * FROM k0 WHERE evidence >= 3)"
 
 
 def _hcop2(spark, sf):
-    line, part = read(spark, sf, "lineitem").filter("l_quantity > 49"), read(spark, sf, "part")
-    rows = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), "p_size").agg(F.array_join(F.collect_set(F.col("l_linenumber").cast("string")), ",").alias("support"))
-    return g.supported(rows.drop("p_size"))
+    """Brands and five classes of sizes, one row a type, supported by line numbers."""
+    line, part = read(spark, sf, "lineitem"), read(spark, sf, "part")
+    size = F.concat(F.lit("S"), F.floor(F.col("p_size") / 11).cast("string"))
+    rows = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("source"), size.alias("target"), "p_type").agg(F.array_join(F.collect_set(F.col("l_linenumber").cast("string")), ",").alias("support"))
+    return g.supported(rows.drop("p_type"))
 
 
 @query(f"WITH {_HCOP}, {_HCOP2}, a AS (SELECT source AS via, target AS source, max(evidence) AS e FROM h GROUP BY 1, 2), b AS (SELECT source AS via, target, max(evidence) AS e FROM k GROUP BY 1, 2) SELECT source, target, via, least(a.e, b.e) AS evidence, max(least(a.e, b.e)) OVER (PARTITION BY source, target) AS best_evidence, count(*) OVER (PARTITION BY source, target) AS paths FROM a JOIN b USING (via)")

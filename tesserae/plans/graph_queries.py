@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..operators import graphs as g
 from .tables import read
 
 QUERIES, SQL = {}, {}
-TOP = 2
 
 
 def query(sql: str | None = None):
@@ -33,12 +33,19 @@ def _trade(spark, sf, year: bool = False):
     return joined.groupBy(*keys).agg(F.sum("l_quantity").alias("quantity"))
 
 
+def _net(trade, *keys):
+    """One signed edge of each pair (and year): negative where more than a third of the quantity came back."""
+    returned, whole = F.sum(F.when(F.col("sign") < 0, F.col("quantity")).otherwise(0.0)), F.sum("quantity")
+    return trade.groupBy("source", "target", *keys).agg(F.when(3 * returned > whole, -1).otherwise(1).alias("sign")).select("source", "target", "sign", *keys)
+
+
 def _edges(spark, sf):
-    return g.strongest(_trade(spark, sf), "quantity", TOP).select("source", "target", "sign")
+    """Used several times by the operators, so the joins behind the edges are done once."""
+    return settled(_net(_trade(spark, sf)))
 
 
 def _yearly(spark, sf):
-    return g.strongest(_trade(spark, sf, True), "quantity", TOP, ("source", "year")).select("source", "target", "sign", "year")
+    return settled(_net(_trade(spark, sf, True), "year"))
 
 
 def _regions(spark, sf):
@@ -48,8 +55,9 @@ def _regions(spark, sf):
 
 
 _T = "SELECT a.n_name AS source, b.n_name AS target, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sign{y}, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey GROUP BY ALL"
-_E = f"t AS ({_T.format(y='')}), e AS (SELECT source, target, sign FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quantity DESC, target, sign) AS k FROM t) WHERE k <= {TOP})"
-_Y = f"t AS ({_T.format(y=', year(l_shipdate) AS year')}), y AS (SELECT source, target, sign, year FROM (SELECT *, row_number() OVER (PARTITION BY source, year ORDER BY quantity DESC, target, sign) AS k FROM t) WHERE k <= {TOP})"
+_N = "CASE WHEN 3 * sum(CASE WHEN sign < 0 THEN quantity ELSE 0 END) > sum(quantity) THEN -1 ELSE 1 END AS sign"
+_E = f"e AS (SELECT source, target, {_N} FROM ({_T.format(y='')}) GROUP BY 1, 2)"
+_Y = f"y AS (SELECT source, target, {_N}, year FROM ({_T.format(y=', year(l_shipdate) AS year')}) GROUP BY source, target, year)"
 _R = "e AS (SELECT n_name AS source, r_name AS target, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END AS sign FROM nation JOIN region ON n_regionkey = r_regionkey)"
 _SCC = "re(s, t) AS (SELECT DISTINCT source, target FROM e UNION SELECT re.s, e.target FROM re JOIN e ON e.source = re.t), nd AS (SELECT source AS node FROM e UNION SELECT target FROM e), mu AS (SELECT a.s AS node, a.t AS other FROM re a JOIN re b ON a.s = b.t AND a.t = b.s), sc AS (SELECT node, least(node, coalesce(min(other), node)) AS scc FROM nd LEFT JOIN mu USING (node) GROUP BY node), fb AS (SELECT DISTINCT node FROM mu)"
 
@@ -61,9 +69,9 @@ def signed_edges_from_table(spark, sf):
     return g.from_table(line.withColumn("s", sign), "l_returnflag", "l_linestatus", "s")
 
 
-@query(f"WITH {_E} SELECT source, target, CASE WHEN min(sign) = max(sign) THEN min(sign) ELSE 0 END AS sign FROM e GROUP BY 1, 2")
+@query(f"WITH {_Y} SELECT source, target, CASE WHEN min(sign) = max(sign) THEN min(sign) ELSE 0 END AS sign FROM y GROUP BY 1, 2")
 def edge_sign(spark, sf):
-    return g.edge_sign(_edges(spark, sf))
+    return g.edge_sign(_yearly(spark, sf))
 
 
 @query(f"WITH t AS ({_T.format(y='')}) SELECT source, target, sign FROM t WHERE source = target")
@@ -126,10 +134,10 @@ def walk_scores(spark, sf):
     return out.select("source", "target", F.round("score", 6).alias("score"), F.round("total", 6).alias("total"), "paths", F.round("normalized", 6).alias("normalized"))
 
 
-@query(_W + " SELECT a.source, a.target, CAST(sign(a.normalized) AS INTEGER) AS sign FROM sc a LEFT JOIN sc b ON b.source = a.target AND b.target = a.source WHERE abs(a.normalized) >= 0.75 AND round(abs(a.normalized), 12) > round(coalesce(abs(b.normalized), 0), 12)")
+@query(_W + " SELECT a.source, a.target, CAST(sign(a.normalized) AS INTEGER) AS sign FROM sc a LEFT JOIN sc b ON b.source = a.target AND b.target = a.source WHERE a.normalized <> 0 AND abs(a.normalized) >= 0.05 AND round(abs(a.normalized), 12) > round(coalesce(abs(b.normalized), 0), 12)")
 def infer_interactions(spark, sf):
     scores = g.walk_scores(_edges(spark, sf))
-    return g.infer_interactions(scores.withColumn("normalized", F.round("normalized", 12)))
+    return g.infer_interactions(scores.withColumn("normalized", F.round("normalized", 12)), 0.05)
 
 
 @query(f"""WITH RECURSIVE {_E}, w(path, cur, sign) AS (SELECT [source], target, sign FROM e WHERE source <= target
@@ -148,10 +156,10 @@ def path_sign(spark, sf):
     return g.path_sign(edges, two).select("text", "sign")
 
 
-@query(f"""WITH RECURSIVE {_E}, {_SCC}, mb AS (SELECT node, scc FROM sc WHERE node IN (SELECT node FROM fb)), p(scc, cur, path) AS (SELECT scc, node, [node] FROM mb UNION ALL SELECT p.scc, e.target, list_append(path, e.target) FROM p JOIN (SELECT DISTINCT source, target FROM e) e ON e.source = cur WHERE len(path) < 5 AND NOT list_contains(path, e.target)),
+@query(f"""WITH RECURSIVE {_E}, {_SCC}, mb AS (SELECT node, scc FROM sc WHERE node IN (SELECT node FROM fb)), p(scc, cur, path) AS (SELECT scc, node, [node] FROM mb UNION ALL SELECT p.scc, e.target, list_append(path, e.target) FROM p JOIN (SELECT DISTINCT source, target FROM e) e ON e.source = cur WHERE len(path) < 4 AND NOT list_contains(path, e.target)),
 d AS (SELECT scc, cur, min(len(path)) AS l FROM p GROUP BY 1, 2) SELECT cur AS marker, scc, array_to_string(path, '>') AS path FROM p JOIN d USING (scc, cur) WHERE len(path) = l AND cur IN ('NATION_1', 'NATION_7', 'NATION_13')""")
 def marker_paths(spark, sf):
-    return g.marker_paths(_edges(spark, sf), ["NATION_1", "NATION_7", "NATION_13"], 4).select("marker", "scc", F.array_join("path", ">").alias("path"))
+    return g.marker_paths(_edges(spark, sf), ["NATION_1", "NATION_7", "NATION_13"], 3).select("marker", "scc", F.array_join("path", ">").alias("path"))
 
 
 def _two_years(spark, sf):

@@ -82,13 +82,13 @@ def scale_uncentered_clip(spark, sf):
     return rounded(m.scale(brand_matrix(spark, sf), customers(spark, sf), brands(spark, sf), False, 3.0), "value", digits=5)
 
 
-_PARTS = "x AS (SELECT o_custkey AS cell, 'p' || (l_partkey % 400) AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+_PARTS = "x AS (SELECT o_custkey AS cell, 'p' || l_partkey AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
 def _part_matrix(spark, sf):
-    """Customers by groups of parts: 400 genes, so that bins hold several."""
+    """Customers by parts."""
     line, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
-    gene = F.concat(F.lit("p"), (F.col("l_partkey") % 400).cast("string")).alias("gene")
+    gene = F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("gene")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").alias("cell"), gene).agg(F.sum("l_quantity").alias("value"))
 
 
@@ -118,23 +118,38 @@ def hvg_cutoff(spark, sf):
     return m.hvg_cutoff(m.hvg_binning(_part_matrix(spark, sf), customers(spark, sf))).select("gene")
 
 
-def _batch_sql(order: str) -> str:
-    return f"""WITH {_PARTS}, obs AS (SELECT c_custkey AS cell, c_mktsegment AS batch FROM customer), n AS (SELECT batch, count(*) AS n FROM obs GROUP BY 1 HAVING count(*) >= 2),
+_BATCHED = f"""WITH {_PARTS}, obs AS (SELECT c_custkey AS cell, c_mktsegment AS batch FROM customer), n AS (SELECT batch, count(*) AS n FROM obs GROUP BY 1 HAVING count(*) >= 2),
 mom AS (SELECT batch, gene, n, sum(value) / n AS mean, greatest(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 0) * n / (n - 1) AS variance FROM x JOIN obs USING (cell) JOIN n USING (batch) GROUP BY batch, gene, n),
 dis AS (SELECT *, variance / mean AS dispersion FROM mom), e AS (SELECT batch, list_distinct(quantile_cont(mean, [{_STEPS}])) AS edges FROM dis WHERE mean > 0 GROUP BY 1),
 bn AS (SELECT batch, gene, n, dispersion, len(list_filter(edges, lambda v: v < mean)) - 1 AS bin FROM dis JOIN e USING (batch)),
 c AS (SELECT batch, bin, median(dispersion) AS centre FROM bn GROUP BY 1, 2), s AS (SELECT batch, bin, median(abs(dispersion - centre)) AS spread FROM bn JOIN c USING (batch, bin) GROUP BY 1, 2),
-sc AS (SELECT batch, gene, n, (dispersion - centre) / nullif(spread / 0.67449, 0) AS score FROM bn JOIN c USING (batch, bin) JOIN s USING (batch, bin)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC NULLS LAST, gene) AS r FROM sc)
-SELECT gene, count(r) FILTER (WHERE r <= 50 AND score IS NOT NULL) AS n_batches, median(r) FILTER (WHERE r <= 50 AND score IS NOT NULL) AS rank, round(sum(score * n) / sum(n) FILTER (WHERE score IS NOT NULL), 4) AS score FROM rk GROUP BY gene {order}"""
+sc AS (SELECT batch, gene, n, {{weight}} AS w, round((dispersion - centre) / nullif(spread / 0.67449, 0), 9) AS score FROM bn JOIN c USING (batch, bin) JOIN s USING (batch, bin)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC NULLS LAST, gene) AS r FROM sc), rr AS (SELECT *, r <= 50 AND score IS NOT NULL AS ok FROM rk),
+cw AS (SELECT gene, r, sum(w) OVER (PARTITION BY gene ORDER BY r, w) AS up, sum(w) OVER (PARTITION BY gene) AS whole FROM rr WHERE ok), md AS (SELECT gene, CAST({{median}} AS DOUBLE) AS rank FROM cw GROUP BY 1)
+SELECT gene, count(r) FILTER (WHERE ok) AS n_batches, rank, round(sum(score * w) / sum(w) FILTER (WHERE score IS NOT NULL), 4) AS score FROM rr LEFT JOIN md USING (gene) GROUP BY gene, rank"""
 
 
-@query(_batch_sql(""))
+def _by_segment(spark, sf):
+    return customers(spark, sf).drop("batch").withColumnRenamed("segment", "batch")
+
+
+@query(_BATCHED.format(weight="n", median="min(r) FILTER (WHERE up >= whole / 2)"))
 def hvg_rank_batch(spark, sf):
-    out = m.hvg_batches(_part_matrix(spark, sf), customers(spark, sf).drop("batch").withColumnRenamed("segment", "batch"), "batch", 50)
+    out = m.hvg_batches(m.batch_binning(_part_matrix(spark, sf), _by_segment(spark, sf), "batch"), 50, "rank", "cell_count")
     return out.select("gene", "n_batches", "rank", F.round("score", 4).alias("score"))
 
 
+@query(_BATCHED.format(weight="1", median="median(r)"))
+def hvg_equal_batch(spark, sf):
+    out = m.hvg_batches(m.batch_binning(_part_matrix(spark, sf), _by_segment(spark, sf), "batch"), 50)
+    return out.select("gene", "n_batches", "rank", F.round("score", 4).alias("score"))
+
+
+@query()
+def hvg_loess_batch(spark, sf):
+    return m.hvg_batches(m.hvg_loess(_part_matrix(spark, sf), _by_segment(spark, sf), batch="batch"), 50, method="loess")
+
+
 @query(f"""WITH {BRAND_X}, v AS (SELECT p_brand AS gene, any_value(left(p_brand, 7)) AS name, min(p_size) AS size FROM part GROUP BY 1)
 SELECT cell, name, sum(value) AS value FROM x JOIN v USING (gene) GROUP BY 1, 2""")
 def merge_duplicate_vars_sum(spark, sf):

@@ -8,7 +8,7 @@ from ..functions import rules as r
 from ..operators import boolean as b
 from ..operators import dynamics as d
 from ..operators import genes, graphs, matrix, vectors
-from .boolean_queries import _CUBES, OTHER, RULES, THIRD, _cubes, _restrict_sql, net
+from .boolean_queries import _CUBES, _MASKS, _NEXT, _RULE, _RULE_SQL, _TERMINAL, _VARS, OTHER, RULES, THIRD, _bit, _cubes, _image, _masks, _restrict_sql, net
 from .gene_queries import _HCOP, _hcop
 from .graph_queries import _AGG, _yearly
 from .matrix_queries import _part_matrix
@@ -16,6 +16,8 @@ from .tables import customers, read
 from .vector_queries import _grp, _lengths, _vectors
 
 QUERIES, SQL = {}, {}
+_SECOND = "(B | ~D) & (A ^ C)"
+_SECOND_SQL = r.to_sql(r.parse(_SECOND), lambda v: _bit(v, "s", _VARS))
 
 
 def query(sql: str | None = None):
@@ -98,19 +100,39 @@ def ensemble_rules(spark, sf):
     return d.ensemble_frame(spark, [net(x) for x in _ALL])
 
 
-@query()
+def _named(implicant):
+    """The implicant as JSON in order of names."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(implicant))))
+
+
+def _prime_sql(k: int, component: str, rule: str) -> str:
+    """Cubes of the rule's variables on which it always holds, that no greater such cube holds."""
+    tree = r.parse(rule)
+    order = r.symbols(tree)
+    size = 1 << len(order)
+    holds = r.to_sql(tree, lambda v: _bit(v, "s", tuple(order)))
+    pairs = ", ".join(f"CASE WHEN fm & {1 << i} <> 0 THEN '\"{v}\":' || CASE WHEN vm & {1 << i} <> 0 THEN 'true' ELSE 'false' END END" for i, v in sorted(enumerate(order), key=lambda x: x[1]))
+    return f"""SELECT {k} AS network_id, '{component}' AS component, '{{' || array_to_string(list_filter([{pairs}], lambda x: x IS NOT NULL), ',') || '}}' AS implicant
+ FROM (WITH st AS (SELECT s, {holds} AS v FROM (SELECT range AS s FROM range(0, {size}))), im AS (SELECT fm, vm FROM range(0, {size}) a(fm), range(0, {size}) b(vm) WHERE vm & fm = vm AND NOT EXISTS (SELECT 1 FROM st WHERE s & fm = vm AND NOT v))
+ SELECT fm, vm FROM im a WHERE NOT EXISTS (SELECT 1 FROM im b WHERE b.fm <> a.fm AND a.fm & b.fm = b.fm AND a.vm & b.fm = b.vm))"""
+
+
+@query(" UNION ALL ".join(_prime_sql(k, c, t) for k, rules in enumerate(_ALL) for c, t in (rules or RULES).items()))
 def ensemble_prime_implicants(spark, sf):
     out = d.ensemble_implicants(spark, [net(x) for x in _ALL], prime=True)
-    return out.select("network_id", "component", F.to_json("implicant").alias("implicant"))
+    return out.select("network_id", "component", _named(F.col("implicant")).alias("implicant"))
 
 
 @query()
 def ensemble_dnf_implicants(spark, sf):
     out = d.ensemble_implicants(spark, [net(x) for x in _ALL])
-    return out.select("network_id", "component", F.to_json("implicant").alias("implicant"))
+    return out.select("network_id", "component", _named(F.col("implicant")).alias("implicant"))
 
 
-@query()
+_STOPPED = f"st AS (SELECT s, CAST({_image(RULES | {'H': '0'})} AS BIGINT) AS f FROM (SELECT range AS s FROM range(0, {1 << len(RULES)}))), mv AS (SELECT s, f, xor(s, f) AS u FROM st)"
+
+
+@query(f"WITH RECURSIVE {_STOPPED}, {_NEXT['asynchronous']}, rc(s) AS (SELECT s FROM st WHERE (s & 15) = 5 UNION SELECT nx.t FROM rc JOIN nx ON nx.s = rc.s), {_TERMINAL} SELECT min(bk.t) AS attractor, at0.s AS state FROM at0 JOIN bk ON bk.s = at0.s GROUP BY at0.s")
 def executable_model_attractors(spark, sf):
     model = d.ExecutableModel(net(), {"start": {"A": True, "B": False, "C": True, "D": False}}, {"H": False})
     return model.attractors(spark, "start", "asynchronous")
@@ -171,3 +193,59 @@ def ensemble_stability(spark, sf):
 def edge_styles(spark, sf):
     aggregated = graphs.validated_counts(graphs.aggregate_graphs(_yearly(spark, sf), "year"))
     return aggregated.select("source", "target", "sign", graphs.frequency_style(F.col("frequency")).alias("style"))
+
+
+_PARTIAL = f"WITH {_CUBES} SELECT cell, component, CASE WHEN value THEN '1' WHEN NOT value THEN '0' ELSE '*' END AS symbol, value IS NOT NULL AS fixed, value IS NULL AS free, CASE WHEN value THEN '1' WHEN NOT value THEN '0' ELSE '0,1' END AS allowed FROM c"
+
+
+@query(_PARTIAL)
+def partial_values(spark, sf):
+    v = F.col("value")
+    allowed = F.array_join(F.transform(b.possibilities(v), lambda x: x.cast("string")), ",")
+    return _cubes(spark, sf).select("cell", "component", b.symbol(b.to_kleene(v)).alias("symbol"), b.is_fixed(v).alias("fixed"), b.is_free(v).alias("free"), allowed.alias("allowed"))
+
+
+@query(f"WITH {_CUBES}, {_MASKS} SELECT cube FROM m WHERE (fm & 7) = fm AND (5 & fm) = vm")
+def hypercube_larger_than(spark, sf):
+    return b.around(_masks(spark, sf), 7, 5).select("cube")
+
+
+@query(f"WITH {_CUBES}, {_MASKS}, k AS (SELECT DISTINCT fm, vm FROM m), w AS (SELECT * FROM k UNION SELECT 7, 5), o AS (SELECT * FROM w WHERE NOT (fm = 7 AND vm = 5)) SELECT (SELECT count(*) FROM k) AS size, (SELECT count(*) FROM w) AS size_with, (SELECT count(*) FROM o) AS size_without, EXISTS (SELECT 1 FROM k WHERE fm = 7 AND vm = 5) AS contained, EXISTS (SELECT 1 FROM w WHERE fm = 7 AND vm = 5) AS then_contained, NOT EXISTS (SELECT 1 FROM k WHERE fm = 7 AND vm = 5) AS same_after")
+def hypercube_collection(spark, sf):
+    masks = b.collected(_masks(spark, sf))
+    one = spark.range(1).select(F.lit(7).cast("long").alias("fixed_mask"), F.lit(5).cast("long").alias("value_mask"))
+    more = b.with_cubes(masks, one)
+    less = b.without_cubes(more, one)
+    count = lambda d, name: d.agg(F.count("*").alias(name))
+    row = count(masks, "size").crossJoin(count(more, "size_with")).crossJoin(count(less, "size_without"))
+    row = row.crossJoin(b.has_cube(masks, 7, 5)).crossJoin(b.has_cube(more, 7, 5).withColumnRenamed("contained", "then_contained"))
+    return row.crossJoin(b.same_collections(masks, less).select(F.col("equal").alias("same_after")))
+
+
+@query(f"WITH {_CUBES} SELECT DISTINCT component FROM c WHERE value IS NOT NULL")
+def hypercube_components(spark, sf):
+    return b.fixed_components(_cube_rows(spark, sf))
+
+
+@query(f"WITH {_CUBES}, {_MASKS} SELECT DISTINCT s AS state FROM m, range(0, 32) g(s) WHERE (s & fm) = vm")
+def configuration_compress(spark, sf):
+    """States of all cubes, made disjoint as single states and compressed to fewer cubes, then spelled out again."""
+    states = b.enumerate_configurations(_masks(spark, sf), 5).select(F.lit(31).cast("long").alias("fixed_mask"), F.col("state").alias("value_mask"))
+    return b.enumerate_configurations(b.compress(states, 5).withColumn("cube", F.lit(0)), 5).select("state")
+
+
+_ROBDD = f"FROM (SELECT s, {_RULE_SQL} AS x, {_SECOND_SQL} AS y FROM (SELECT range AS s FROM range(0, 16)))"
+
+
+@query(f"SELECT count(*) FILTER (WHERE x AND y) AS n_and, count(*) FILTER (WHERE x OR y) AS n_or, count(*) FILTER (WHERE x <> y) AS n_xor, count(*) FILTER (WHERE NOT x) AS n_not {_ROBDD}")
+def robdd_algebra(spark, sf):
+    x, y = (r.Diagram(r.parse(t), list(_VARS)) for t in (_RULE, _SECOND))
+    return spark.createDataFrame([tuple(z.count() for z in (x & y, x | y, x ^ y, ~x))], "n_and long, n_or long, n_xor long, n_not long")
+
+
+@query(" UNION ALL ".join(f"SELECT {fm} AS fixed_mask, {vm} AS value_mask, coalesce(bool_or(x), false) AS can_be_1, coalesce(bool_or(NOT x), false) AS can_be_0 {_ROBDD} WHERE (s & {fm}) = {vm}" for fm in range(16) for vm in range(16) if vm & fm == vm))
+def robdd_can_take(spark, sf):
+    x = r.Diagram(r.parse(_RULE), list(_VARS))
+    cube = lambda fm, vm: {v: bool(vm >> i & 1) for i, v in enumerate(_VARS) if fm >> i & 1}
+    rows = [(fm, vm, x.can_take_value(cube(fm, vm), True), x.can_take_value(cube(fm, vm), False)) for fm in range(16) for vm in range(16) if vm & fm == vm]
+    return spark.createDataFrame(rows, "fixed_mask int, value_mask int, can_be_1 boolean, can_be_0 boolean")

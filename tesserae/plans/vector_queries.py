@@ -111,9 +111,15 @@ def paga(spark, sf):
     return v.paga(_edges(spark, sf), _labels(spark, sf)).select("a", "b", "observed", F.round("expected", 6).alias("expected"), F.round("weight", 6).alias("weight"))
 
 
-@query()
+#: An edge is in the tree if edges that come before it (heavier, or equal and of smaller names) do not join its ends.
+_TREE = _PAGA.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a, b, round(CASE WHEN expected = 0 THEN 1 ELSE least(observed / expected, 1) END, 9) AS weight FROM p), en AS (SELECT *, row_number() OVER (ORDER BY weight DESC, a, b) AS m FROM w),
+ed AS (SELECT m, a AS x, b AS y FROM en UNION ALL SELECT m, b, a FROM en), rt(m, x) AS (SELECT en.m, ed.y FROM en JOIN ed ON ed.x = en.a AND ed.m < en.m UNION SELECT rt.m, ed.y FROM rt JOIN ed ON ed.x = rt.x AND ed.m < rt.m) SELECT a, b, weight FROM en WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.m = en.m AND rt.x = en.b)"""
+
+
+@query(_TREE)
 def paga_tree(spark, sf):
-    return v.paga_tree(v.paga(_edges(spark, sf), _labels(spark, sf)))
+    weights = v.paga(_edges(spark, sf), _labels(spark, sf))
+    return v.paga_tree(weights.withColumn("weight", F.round("weight", 9)))
 
 
 def _lengths(spark, sf):
