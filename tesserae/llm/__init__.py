@@ -15,4 +15,4 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
 }
 
-SQL = {"op7_url_filter": urls.OP7_SQL, "op9_quality": quality.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
+SQL = {"op7_url_filter": urls.OP7_SQL, "op8_embeddings": embeddings.OP8_SQL, "op9_quality": quality.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
