@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and read from the checkpoint folder that the cluster's machines share. Only a session on one
-    machine gets a folder of its own where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster's machines share. Only a session on one machine gets a folder of its own
+    where none is named."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and read from the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

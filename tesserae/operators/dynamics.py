@@ -189,21 +189,19 @@ def reachability(source: DataFrame, target: DataFrame, network: Network, update:
 
 def trap_closure(cubes: DataFrame, network: Network) -> DataFrame:
     """(fixed_mask, value_mask, closed_fixed, closed_value): the least closed cube around each cube: a component is
-    freed as soon as its rule can leave its value somewhere inside. Only the cube's own states are looked at."""
-    n = network.n
+    freed as soon as its rule can leave its value somewhere inside, which the rule's decision diagram tells without
+    looking at the cube's states."""
+    names = network.components
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        images = network.images()
+        diagrams = [r.Diagram(t) for t in network.rules.values()]
         for b in batches:
             fixed_in, value_in = (b[c].to_numpy(zero_copy_only=False) for c in ("fixed_mask", "value_mask"))
             out_f, out_v = [], []
             for fixed, value in zip(fixed_in.tolist(), value_in.tolist(), strict=True):
                 while True:
-                    states = np.array([value], np.int64)
-                    for i in range(n):
-                        if not fixed >> i & 1:
-                            states = np.concatenate([states, states | (1 << i)])
-                    leave = int(np.bitwise_or.reduce(images[states] ^ states)) & fixed
+                    cube = {c: bool(value >> i & 1) for i, c in enumerate(names) if fixed >> i & 1}
+                    leave = sum(1 << i for i, c in enumerate(names) if c in cube and diagrams[i].can_take_value(cube, not cube[c]))
                     if not leave:
                         break
                     fixed &= ~leave

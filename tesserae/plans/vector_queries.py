@@ -177,3 +177,10 @@ def umap(spark, sf):
 @query()
 def tsne(spark, sf):
     return v.tsne(_vectors(spark, sf), "vec_id", "embedding")
+
+
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS s FROM x GROUP BY 1)
+SELECT vec_id, pos, round(greatest(least((v - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 2), -2), 6) AS value FROM x JOIN m USING (pos)""")
+def scale_representation(spark, sf):
+    out = v.scaled_representation(read(spark, sf, "embeddings"), "vec_id", "embedding", max_value=2.0)
+    return out.select("vec_id", F.posexplode("components").alias("p", "value")).select("vec_id", (F.col("p") + 1).alias("pos"), F.round("value", 6).alias("value"))

@@ -62,7 +62,7 @@ def exchange_text(network: Network, program: str) -> str:
     return text.replace("~", "!") if PROGRAMS[program] else text
 
 
-def _graph_xml(network: Network) -> bytes:
+def graph_xml(network: Network) -> bytes:
     """GINML: a node with its rule for each component, an edge for each component that a rule depends on."""
     from ..functions import rules as r
 
@@ -102,7 +102,7 @@ def zginml_bytes(model: ExecutableModel) -> bytes:
         ElementTree.SubElement(states, "initialState", {"name": name, "value": " ".join(f"{c};{int(v)}" for c, v in given.items())})
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("GINsim-data/regulatoryGraph.ginml", _graph_xml(model.network))
+        z.writestr("GINsim-data/regulatoryGraph.ginml", graph_xml(model.network))
         z.writestr("GINsim-data/initialState", ElementTree.tostring(states, encoding="utf-8", xml_declaration=True))
     return out.getvalue()
 
