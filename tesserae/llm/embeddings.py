@@ -227,8 +227,8 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS u, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
-l AS (SELECT a.u AS a, b.u AS b FROM ok a JOIN ok b ON a.u < b.u AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+ok AS MATERIALIZED (SELECT u, list_transform(e, lambda x: coalesce(x, 0)) AS e FROM v WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(e, lambda x: coalesce(x <> 0, false)))),
+l AS (SELECT a.u AS a, b.u AS b FROM ok a JOIN ok b ON a.u < b.u AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {THRESHOLD} ELSE false END),
 d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT a AS u, count(*) AS n FROM d GROUP BY 1),
 r(u, w) AS (SELECT u, u FROM ok UNION SELECT r.u, d.b FROM r JOIN d ON d.a = r.w),
 c AS (SELECT r.u, min(v.vec_id) AS component_id FROM r JOIN v ON v.u = r.w GROUP BY 1)

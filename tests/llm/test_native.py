@@ -208,7 +208,7 @@ def test_bounded_loads_place_every_row_clockwise():
 
 
 def test_sharding_operator(spark, tmp_path):
-    rows = [(i, "x" * (i % 50)) for i in range(997)] + [(5, "y")] * 400 + [(None, None), (None, "é")]
+    rows = [(i, "x" * (i % 50)) for i in range(997)] + [(5, "y")] * 400 + [(None, None), (None, "é"), (6, "long " * 100_000)]
     spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, shard int").write.parquet(str(tmp_path / "documents.parquet"))
     got = sharding.op4_sharding(spark, str(tmp_path)).collect()
     key = lambda i, t: (str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))

@@ -34,7 +34,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(r.decoded_sha256 for r in out) == sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in mixed)
     size = lambda rows: sum(len(re.findall(r"\S+", r.text)) for r in rows)
     assert abs(size(mixed) - size(kept.collect())) < 0.05 * size(mixed)
+    extra = docs.selectExpr("*", "1 as size", "2 as _row", "'x' as component_id", "0L as _uid", "3 as n_words")
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:3], (len(texts), None, None), strict=True):
+        got = stage(spark, extra, "")
+        assert got.columns == corpus_pipeline.COLUMNS and got.count() > 0 and want in (None, got.count())
+    assert corpus_pipeline.bpe_stage(spark, extra, "").count() == docs.count()
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES[:3]:
         empty = stage(spark, empty, "")
         assert empty.columns == corpus_pipeline.COLUMNS and empty.count() == 0
+    assert corpus_pipeline.bpe_stage(spark, empty, "").count() == 0
