@@ -221,3 +221,26 @@ def test_graph_edits(spark):
     agg = graphs.aggregate_graphs(e.crossJoin(spark.createDataFrame([(1,), (2,)], "g int")), "g")
     more = graphs.update_aggregated(agg, graphs.aggregate_graphs(e.limit(1).selectExpr("*", "7 as g"), "g"))
     assert {r["count"] for r in more.collect()} == {2, 3} and {r.total for r in more.collect()} == {3}
+
+
+def test_loess_of_batches_equals_each_batch_apart(spark):
+    rng = np.random.default_rng(4)
+    obs = spark.createDataFrame([(c, "ab"[c % 2]) for c in range(40)], "cell long, kind string")
+    rows = [(c, f"g{g}", float(v)) for g in range(25) for c, v in enumerate(rng.poisson(0.5 + g / 3, 40)) if v]
+    x = spark.createDataFrame(rows, "cell long, gene string, value double")
+    both = {(r.batch, r.gene): (r.n_obs, r.score) for r in matrix.hvg_loess(x, obs, 0.5, batch="kind").collect()}
+    for kind in "ab":
+        own = obs.filter(f"kind = '{kind}'")
+        alone = {r.gene: r.score for r in matrix.hvg_loess(x.join(own.select("cell"), "cell"), own, 0.5).collect()}
+        assert alone and {g: s for (k, g), (_, s) in both.items() if k == kind} == pytest.approx(alone)
+    assert {n for n, _ in both.values()} == {20}
+
+
+def test_scaled_representations(spark):
+    x = np.random.default_rng(7).normal(size=(30, 4)) * [1, 5, 0, 2]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    sd = np.where(x.std(axis=0, ddof=1) > 0, x.std(axis=0, ddof=1), 1)
+    got = {r.id: r.components for r in vectors.scaled_representation(df, "id", "v").collect()}
+    assert np.allclose([got[k] for k in range(30)], (x - x.mean(axis=0)) / sd)
+    plain = {r.id: r.components for r in vectors.scaled_representation(df, "id", "v", False, 1.0).collect()}
+    assert np.allclose([plain[k] for k in range(30)], np.clip(x / sd, -1, 1))
