@@ -55,14 +55,32 @@ def read_hypercubes(spark: SparkSession, path: str, orientation: str = "columns"
     return long.select(F.col(name).alias("name"), F.col(component).alias("component"), _cube_value(F.col("_v")).alias("value"))
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _start, _k) of the lines of a file, of a folder of parts or of a glob. Spark deals the largest parts
+    out first, so `_k` alone is not their order; (_file, _start, _k) is."""
+    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    return spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("_k"))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, row_no): lines numbered from 0 in the order of `_placed`."""
+    lines = _placed(spark, path)
+    blocks = lines.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_k").alias("_first")).collect()  # a row a block
+    base, rows = 0, []
+    for b in sorted(blocks, key=lambda b: (b["_file"], b["_start"])):
+        rows.append((b["_file"], b["_start"], base - b["_first"]))
+        base += b["_n"]
+    shift = spark.createDataFrame(rows, "_file string, _start long, _shift long")
+    return lines.join(F.broadcast(shift), ["_file", "_start"]).select("value", (F.col("_k") + F.col("_shift")).alias("row_no"))
+
+
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value), 0-based, of a Matrix Market coordinate file, gzip included. Comments and the size line go: the
-    size line is the first that is no comment, and the only one whose count is that of the lines after it."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%")).filter(F.trim("value") != "")
-    f = F.split(F.trim("value"), r"\s+")
-    at = lines.select(f.alias("f"), F.monotonically_increasing_id().alias("_k"))
-    first = at.agg(F.min("_k").alias("_first"))
-    rows = at.crossJoin(F.broadcast(first)).filter("_k > _first")
+    """(row, col, value), 0-based, of a Matrix Market coordinate file, gzip included, or of its parts in the order of
+    their names. Comments and the size line go: the size line is the first that is no comment."""
+    lines = _placed(spark, path).filter(~F.col("value").startswith("%")).filter(F.trim("value") != "")
+    at = lines.select(F.split(F.trim("value"), r"\s+").alias("f"), F.struct("_file", "_start", "_k").alias("_at"))
+    first = at.agg(F.min("_at").alias("_first"))
+    rows = at.crossJoin(F.broadcast(first)).filter("_at > _first")
     return rows.select((F.col("f")[0].cast("long") - 1).alias("row"), (F.col("f")[1].cast("long") - 1).alias("col"), F.when(F.size("f") > 2, F.get("f", F.lit(2)).cast("double")).otherwise(1.0).alias("value"))
 
 
@@ -70,16 +88,7 @@ def read_10x(spark: SparkSession, path: str) -> DataFrame:
     """(cell, gene, value) of a folder with matrix.mtx, barcodes.tsv and genes.tsv or features.tsv (each may be gzipped)."""
 
     def names(glob: str, out: str) -> DataFrame:
-        lines = spark.read.text(f"{path}/{glob}").select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("_k"))
-        parts = lines.groupBy(F.shiftright("_k", 33).alias("_p")).agg(F.count("*").alias("_n"))
-        offset = {r["_p"]: 0 for r in parts.collect()}  # one row a file part
-        total = 0
-        for r in sorted(parts.collect(), key=lambda r: r["_p"]):
-            offset[r["_p"]], total = total, total + r["_n"]
-        base = F.lit(0)
-        for p, o in offset.items():
-            base = F.when(F.shiftright("_k", 33) == p, o).otherwise(base)
-        return lines.select((F.expr("_k & 8589934591") + base).alias("_i"), F.col("f")[0].alias(out))
+        return _numbered(spark, f"{path}/{glob}").select(F.col("row_no").alias("_i"), F.split("value", "\t")[0].alias(out))
 
     x = read_mtx(spark, f"{path}/matrix.mtx*")
     genes, cells = names("{genes,features}.tsv*", "gene"), names("barcodes.tsv*", "cell")
@@ -89,7 +98,7 @@ def read_10x(spark: SparkSession, path: str) -> DataFrame:
 def read_gene_info(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, gene_id, symbol, ncbi_symbol, synonyms, databases map, ensembl_id, chromosome, gene_type) of a TSV in file
     order."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("row_no")).filter(~F.col("f")[0].startswith("#") & (F.col("f")[0] != "gene_id"))
+    lines = _numbered(spark, path).select(F.split("value", "\t").alias("f"), "row_no").filter(~F.col("f")[0].startswith("#") & (F.col("f")[0] != "gene_id"))
     f = F.col("f")
     refs = F.filter(F.split(f[4], r"\|"), lambda x: x.contains(":"))
     pair = F.transform(refs, lambda x: F.struct(F.substring_index(x, ":", 1).alias("db"), F.regexp_replace(x, "^[^:]*:", "").alias("id")))

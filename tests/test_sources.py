@@ -68,6 +68,26 @@ def test_matrix_market(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "coo")).count() == 3
 
 
+def test_parts_are_read_in_the_order_of_their_names(spark, tmp_path):
+    """The larger parts come last by name; Spark deals them out first."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    rows = [(i, i % 7, i + 0.5) for i in range(4000)]
+    lines = [f"{i + 1} {j + 1} {v}" for i, j, v in rows]
+    (folder / "part-0.txt").write_text(f"%%MatrixMarket matrix coordinate real general\n4000 7 4000\n{lines[0]}\n")
+    (folder / "part-1.txt").write_text("\n".join(lines[1:1500]) + "\n")
+    (folder / "part-2.txt").write_text("\n".join(lines[1500:]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # more than one block a file, and tasks for each
+    spark.conf.set("spark.sql.files.openCostInBytes", "16k")
+    try:
+        assert sorted(map(tuple, readers.read_mtx(spark, str(folder)).collect())) == rows
+        numbered = readers._numbered(spark, str(folder)).orderBy("row_no").collect()
+        assert [q.row_no for q in numbered] == list(range(4002)) and [q.value for q in numbered][2:] == lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_gene_info(spark, tmp_path):
     (tmp_path / "g.tsv").write_text("#tax\tx\n1\tA\tA1\tal|be\tMGI:5|Ensembl:E1|MGI:6\t3\tncRNA\n2\t-\tB\t-\t-\t-\tpseudo\n")
     got = {q.gene_id: q for q in readers.read_gene_info(spark, str(tmp_path / "g.tsv")).collect()}
