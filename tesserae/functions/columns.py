@@ -11,6 +11,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def mean_above(value: Column, bound: int) -> Column:
+    """Aggregate: avg(value) > bound, which does not depend on the order of the rows. Sums of doubles do: where the mean of
+    decimal values is the bound itself, one order ends above it and another below. So values are added as the decimals that
+    they are written as; a group with a value that no decimal(38, 18) holds (infinite, NaN, too large or too fine) is
+    compared by its average."""
+    exact = value.try_cast("decimal(38,18)")
+    held = F.bool_and(F.coalesce(exact.cast("double") == value, value.isNull()))
+    total = F.try_sum(exact)
+    return F.when(held & total.isNotNull(), total > F.lit(bound) * F.count(value)).otherwise(F.avg(value) > bound)
+
+
 def log2_or_inf(x: Column) -> Column:
     """log2 with -inf at 0 and NaN below, where Spark's own gives null."""
     return F.when(x > 0, F.log2(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
+from ..functions.columns import mean_above
 from ..operators import boolean as b
 from ..operators import dynamics as d
 from .tables import read
@@ -64,7 +65,7 @@ _CUBES = "c AS (SELECT user_id AS cell, event_type AS component, CASE WHEN count
 
 
 def _cubes(spark, sf):
-    value = F.when(F.count_if(F.col("value") > 20) >= 5, F.avg("value") > 50)
+    value = F.when(F.count_if(F.col("value") > 20) >= 5, mean_above(F.col("value"), 50))
     return read(spark, sf, "events").groupBy(F.col("user_id").alias("cell"), F.col("event_type").alias("component")).agg(value.alias("value"))
 
 

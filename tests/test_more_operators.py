@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.operators import boolean as b
 from tesserae.operators import compare, graphs, matrix, vectors
@@ -244,3 +245,23 @@ def test_scaled_representations(spark):
     assert np.allclose([got[k] for k in range(30)], (x - x.mean(axis=0)) / sd)
     plain = {r.id: r.components for r in vectors.scaled_representation(df, "id", "v", False, 1.0).collect()}
     assert np.allclose([plain[k] for k in range(30)], np.clip(x / sd, -1, 1))
+
+
+def test_a_mean_at_the_bound_is_not_above_it(spark, tmp_path):
+    """Decimal values of mean 50 whose doubles, added one by one, end above their sum."""
+    from tesserae.functions.columns import mean_above
+    from tesserae.plans.boolean_queries import _cubes
+
+    rng, near = random.Random(3), []
+    while len(near) < 5:  # groups of mean 50 whose doubles, in this order, add up to more
+        v = [rng.randrange(2100, 9000) / 100 for _ in range(11)]
+        v.append(round(600 - sum(v), 2))
+        if 20 < v[-1] < 500 and list(itertools.accumulate(v))[-1] > 600:
+            near.append(v)
+    rows = [(u, "view", x) for u, v in enumerate(near) for x in v] + [(9, "view", x) for x in [50.0] * 11 + [50.01]]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {q.cell: q.value for q in _cubes(spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False, 4: False, 9: True}
+    odd = [("inf", float("inf")), ("inf", 1.0), ("nan", float("nan")), ("fine", 1e-30), ("fine", 60.0), ("large", 1e300), ("large", -1e299), ("none", None), ("less", 49.99), ("less", None)]
+    over = spark.createDataFrame(odd, "k string, v double").groupBy("k").agg(mean_above(F.col("v"), 50).alias("m"))
+    assert {q.k: q.m for q in over.collect()} == {"inf": True, "nan": True, "fine": False, "large": True, "none": None, "less": False}
