@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clip, ratio
+from ..functions.lineage import settled
 
 
 def with_size(df: DataFrame, axis: DataFrame, name: str = "n_obs") -> DataFrame:
@@ -325,8 +326,9 @@ def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e
     the variance that a local quadratic fit of log10 variance on log10 mean expects. With `batch`, a column of `obs`:
     (batch, n_obs) too, each batch on its own.
 
-    A fit sees one row a gene with positive mean and variance, in one task a batch: genes are a dimension, and the fit's
-    neighbours are wherever the means are. Counts are clipped and summed where they lie."""
+    A fit sees, in one task a batch, one row a distinct mean of genes with positive mean and variance: genes of one mean
+    have one fit, in which they weigh by their number and the sum of their log10 variances. Counts are clipped and summed
+    where they lie."""
     import numpy as np
     import pyarrow as pa
 
@@ -335,28 +337,36 @@ def hvg_loess(x: DataFrame, obs: DataFrame, span: float = 0.3, floor: float = 1e
     else:
         m, keys = batch_moments(x, obs, batch), ["batch", "gene"]
         x = x.join(obs.select("cell", F.col(batch).alias("batch")), "cell")
-    m = m.filter("mean > 0 and variance > 0").select("batch", "gene", "n_obs", "mean", "variance")
+    m = settled(m.filter("mean > 0 and variance > 0").select("batch", "gene", "n_obs", "mean", "variance"))  # means are joined by
+    kinds = dict(m.dtypes)
 
     def fit(t):
-        a, b = np.log10(t["mean"].to_numpy()), np.log10(t["variance"].to_numpy())
-        n = len(a)
+        mean = t["mean"].to_numpy()
+        order = np.argsort(mean, kind="stable")
+        xs, count, ys = np.log10(mean[order]), t["genes"].to_numpy()[order].astype(np.float64), t["height"].to_numpy()[order]
+        ends = np.cumsum(count)
+        n = int(ends[-1])
         k = min(n, max(int(np.ceil(span * n)), 4))
-        order = np.argsort(a, kind="stable")
-        xs, ys = a[order], b[order]
-        out = np.empty(n)
+        out = np.empty(len(xs))
+        at = lambda p: int(np.searchsorted(ends, p, side="right"))  # noqa: E731  the mean of the p-th gene by mean
         lo = 0
-        for i in range(n):  # the k nearest of a sorted row are a window that only moves on
-            while lo + k < n and xs[lo + k] - xs[i] < xs[i] - xs[lo]:
-                lo += 1
-            d = xs[lo : lo + k] - xs[i]
-            w = np.sqrt(np.clip(1 - (np.abs(d) / max(np.abs(d).max(), 1e-12)) ** 3, 0, None) ** 3)
+        for i in range(len(xs)):  # the k nearest of a sorted row are a window that only moves on
+            while lo + k < n:
+                near, far = at(lo), at(lo + k)
+                if not xs[far] - xs[i] < xs[i] - xs[near]:
+                    break
+                lo = int(min(ends[near], ends[far] - k))  # as far as both ends keep their means
+            # a mean cut by an end of the window is the farthest, of weight 0, or the point's own
+            part = slice(at(lo), at(lo + k - 1) + 1)
+            d = xs[part] - xs[i]
+            w = np.clip(1 - (np.abs(d) / max(np.abs(d).max(), 1e-12)) ** 3, 0, None) ** 3
             # the three normal equations of the local parabola, whose value at the point is its first coefficient
-            basis = np.stack([w, w * d, w * d * d])
-            out[order[i]] = np.linalg.lstsq(basis @ basis.T, basis @ (w * ys[lo : lo + k]), rcond=1e-12)[0][0]
-        return t.append_column("expected", pa.array(np.maximum(10**out, floor)))
+            basis = np.stack([np.ones(len(d)), d, d * d])
+            out[i] = np.linalg.lstsq(basis * (w * count[part]) @ basis.T, basis @ (w * ys[part]), rcond=1e-12)[0][0]
+        return pa.table({"batch": t["batch"].take(pa.array(order)), "mean": mean[order], "expected": np.maximum(10**out, floor)})
 
-    kinds = dict(m.dtypes)
-    trend = m.groupBy("batch").applyInArrow(fit, f"batch {kinds['batch']}, gene {kinds['gene']}, n_obs long, mean double, variance double, expected double")
+    means = m.groupBy("batch", "mean").agg(F.count("*").alias("genes"), F.sum(F.log10("variance")).alias("height"))
+    trend = m.join(means.groupBy("batch").applyInArrow(fit, f"batch {kinds['batch']}, mean double, expected double"), ["batch", "mean"])
     top = F.col("mean") + F.sqrt(F.col("expected") * F.col("n_obs"))
     clipped = x.join(trend, keys).withColumn("_v", F.least(F.col("value"), top))
     sums = clipped.groupBy("batch", "gene", "n_obs", "mean", "variance", "expected").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))

@@ -298,3 +298,28 @@ def test_candidates_hold_the_nearest_of_wide_blocks():
             got.setdefault(int(q[0]), []).append((q[2], int(q[1])))
     d = vectors.distances(x, y, "euclidean")
     assert all(got[i] == sorted((d[i, c], int(ids[c])) for c in range(3000))[:5] for i in range(50))
+
+
+def test_loess_fits_a_mean_once(spark):
+    """Genes of equal means share a fit, which is that of all genes fitted one by one. Where one mean
+    holds more genes than the span, all of them count, not whichever come first."""
+    rng = np.random.default_rng(2)
+    cells, genes = 40, 300
+    x = rng.poisson(np.repeat([1.0, 2.0, 3.0], 100), size=(cells, genes)).astype(float)
+    frame = spark.createDataFrame([(f"c{i}", f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "cell string, gene string, value double")
+    obs = spark.createDataFrame([(f"c{i}",) for i in range(cells)], "cell string")
+    got = {r.gene: r.expected for r in matrix.hvg_loess(frame, obs, 0.5).collect()}
+    a, b = np.log10(x.mean(axis=0)), np.log10(x.var(axis=0, ddof=1))
+    assert len(set(a)) < genes / 2
+    for i in range(genes):
+        d = np.abs(a - a[i])
+        k = int(np.ceil(0.5 * genes))
+        h = np.sort(d)[k - 1]
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        basis = np.stack([np.ones(genes), a - a[i], (a - a[i]) ** 2])
+        assert got[f"g{i}"] == pytest.approx(10 ** np.linalg.lstsq(basis * w @ basis.T, basis @ (w * b), rcond=1e-12)[0][0], rel=1e-6)
+    spread = [(f"c{c}", f"g{g}", float(v)) for g in range(20) for c, v in enumerate((10 + g, 40 - g))]
+    two = obs.filter("cell in ('c0', 'c1')")
+    level = np.mean([np.log10((30 - 2 * g) ** 2 / 2) for g in range(20) if g != 15])
+    same = matrix.hvg_loess(spark.createDataFrame(spread, "cell string, gene string, value double"), two, 0.3).collect()
+    assert len(same) == 19 and all(r.expected == pytest.approx(10**level) for r in same)
