@@ -25,12 +25,19 @@ def _trade(spark, sf, year: bool = False):
     """Supplier nation -> customer nation, negative for returned goods: quantity, by ship year if asked."""
     line, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
     nation = read(spark, sf, "nation").select("n_nationkey", "n_name")
-    s = read(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("source"))
-    c = read(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("target"))
-    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
-    keys = [F.col("source"), F.col("target"), sign.alias("sign")] + ([F.year("l_shipdate").alias("year")] if year else [])
-    return joined.groupBy(*keys).agg(F.sum("l_quantity").alias("quantity"))
+    sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1).cast("byte").alias("sign")
+    when = [F.year("l_shipdate").cast("short").alias("year")] if year else []
+    # nations travel as numbers, and only the sums get their names
+    s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("_s"))
+    c = read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("_c"))
+    sold = line.select("l_orderkey", "l_suppkey", sign, *when, "l_quantity").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = orders.select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "_c")
+    keys = ["_s", "_c", "sign", *(["year"] if year else [])]
+    sums = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(*keys).agg(F.sum("l_quantity").alias("quantity"))
+    names = lambda key, out: F.broadcast(nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out)))
+    named = sums.join(names("_s", "source"), "_s").join(names("_c", "target"), "_c")
+    years = [F.col("year").cast("int").alias("year")] if year else []
+    return named.groupBy("source", "target", F.col("sign").cast("int").alias("sign"), *years).agg(F.sum("quantity").alias("quantity"))
 
 
 def _net(trade, *keys):
@@ -162,8 +169,8 @@ def marker_paths(spark, sf):
     return g.marker_paths(_edges(spark, sf), ["NATION_1", "NATION_7", "NATION_13"], 3).select("marker", "scc", F.array_join("path", ">").alias("path"))
 
 
-def _two_years(spark, sf):
-    y = _yearly(spark, sf)
+def _two_years(spark, sf, yearly=None):
+    y = _yearly(spark, sf) if yearly is None else yearly
     return y.filter("year = 1994").drop("year"), y.filter("year = 1995").drop("year")
 
 
@@ -173,7 +180,7 @@ SELECT differing, size, round(differing / size, 9) AS distance, round(1 - differ
 
 
 def _distance(spark, sf, universe, given=None):
-    out = g.graph_distance(*_two_years(spark, sf), universe, given)
+    out = g.graph_distance(*_two_years(spark, sf, given), universe, given)
     return out.withColumns({c: F.round(c, 9) for c in ("distance", "similarity")})
 
 

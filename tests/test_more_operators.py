@@ -323,3 +323,17 @@ def test_loess_fits_a_mean_once(spark):
     level = np.mean([np.log10((30 - 2 * g) ** 2 / 2) for g in range(20) if g != 15])
     same = matrix.hvg_loess(spark.createDataFrame(spread, "cell string, gene string, value double"), two, 0.3).collect()
     assert len(same) == 19 and all(r.expected == pytest.approx(10**level) for r in same)
+
+
+def test_trade_carries_numbers_and_is_joined_once(spark, monkeypatch):
+    """What the joins of order lines shuffle has no names; a query that needs the yearly graphs twice computes them once."""
+    from tesserae.plans import graph_queries as q
+
+    plan = q._trade(spark, "/root/testdata/sf0.001", True)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, at in enumerate(plan) if "Join Inner" in at and "orderkey" in at)
+    depth = lambda at: len(at) - len(at.lstrip(" :+-"))
+    under = [at for k, at in enumerate(plan) if k > join and all(depth(x) > depth(plan[join]) for x in plan[join + 1 : k + 1])]
+    assert under and not any("n_name" in at for at in under)
+    calls, yearly = [], q._yearly
+    monkeypatch.setattr(q, "_yearly", lambda *a: calls.append(a) or yearly(*a))
+    assert q.graph_distance_given(spark, "/root/testdata/sf0.001").count() == 1 and len(calls) == 1
