@@ -354,3 +354,11 @@ def test_paths_and_parts_in_one_task_equal_rounds(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(vectors, "TASK_EDGES", -1)
     assert one == run() and len({p for _, p in one[2]}) > 5 and ("x", 3, 0.125) in one[0]
+
+
+def test_neighbour_search_is_done_once(spark):
+    """Whatever reads the edges, several times or to count nodes, reads a finished table."""
+    frame = spark.createDataFrame([(i, [float(i * i % 17), float(i)]) for i in range(40)], "id long, v array<double>")
+    assert "MapInArrow" not in vectors.knn(frame, "id", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
+    plan = vectors.fuzzy_connectivity(vectors.knn(frame, "id", "v", 3), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
