@@ -362,3 +362,16 @@ def test_neighbour_search_is_done_once(spark):
     assert "MapInArrow" not in vectors.knn(frame, "id", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
     plan = vectors.fuzzy_connectivity(vectors.knn(frame, "id", "v", 3), 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_tsne_by_blocks_equals_all_pairs_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 6)) + 4 * np.arange(150)[:, None] // 50
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    one = np.array(sorted(map(tuple, vectors.tsne(frame, "id", "v", n_iter=10).collect())))
+    monkeypatch.setattr(vectors, "DENSE_TSNE", 10)
+    blocks = np.array(sorted(map(tuple, vectors.tsne(frame, "id", "v", n_iter=10).collect())))
+    assert np.abs(one - blocks).max() < 1e-8  # later rounds carry rounding on
+    monkeypatch.undo()
+    many = spark.range(3100).select("id", F.array(F.sin("id"), F.cos("id"), F.col("id") / 1000).alias("v"))
+    assert vectors.tsne(many, "id", "v", n_iter=2).count() == 3100
